@@ -30,6 +30,8 @@ FRAME, HOP = 256, 128
 #: Peaks a frame at most are the strongest; FAN later peaks are paired with each, within REACH frames.
 PEAKS, FAN, REACH = 3, 3, 32
 BLOCK = 2048
+#: A steady tone may waver by this share and still be a peak in time.
+STEADY = 0.99
 _window = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
 
 
@@ -73,7 +75,8 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = max(0, lo - 1), min(n, hi + 1)  # a frame on either side, for the comparison in time
         m = np.pad(spectrum(samples, a, b), ((1, 1), (1, 1)), constant_values=-1.0)
         mid = m[1:-1, 1:-1]
-        top = (mid > m[1:-1, :-2]) & (mid >= m[1:-1, 2:]) & (mid >= m[:-2, 1:-1]) & (mid >= m[2:, 1:-1]) & (mid > 1e-3)
+        top = (mid > m[1:-1, :-2]) & (mid >= m[1:-1, 2:]) & (mid >= STEADY * m[:-2, 1:-1]) & (mid >= STEADY * m[2:, 1:-1])
+        top &= mid > 2 * mid.mean(axis=1, keepdims=True) + 1e-3
         top[:, 0] = False
         own = slice(lo - a, lo - a + hi - lo)
         strength = np.where(top[own], mid[own], 0)

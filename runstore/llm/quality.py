@@ -39,7 +39,7 @@ GRIDS = {
     "lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_made = [*BASE, "base_failed", "kept", "_w", "_lines", "_h", "_stratum", *[f"_{g}" for g in GRIDS]]
+_made = [*BASE, "base_failed", "kept", "_w", "_lines", "_h", "_stratum", "_row", *[f"_{g}" for g in GRIDS]]
 
 
 def signals(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
@@ -92,6 +92,8 @@ def signals(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> D
         (F.col("n_repeat_words") / F.greatest("n_words", F.lit(1))).alias("_echoes"),
         (F.col("n_dup_lines") / F.col("_n_lines")).alias("_lines"),
         stratum.alias("_stratum"),
+        # a column that isn't deterministic: no filter is pushed below, where it would copy the signals' expressions
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
@@ -157,4 +159,4 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(lang).alias("lang")] if lang else []))
     found = kept(signals(few, "text", "lang" if lang else None).drop("text"), "signals")
     chosen = cutoffs(found, labels, "doc_id", alpha, delta)
-    return judge(signals(docs, text, lang), chosen).where("kept").select(*[quoted(c) for c in docs.columns])
+    return judge(signals(docs, text, lang), chosen).where("kept and _row >= 0").select(*[quoted(c) for c in docs.columns])
