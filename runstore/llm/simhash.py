@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = known.join(roots.select("root").distinct(), "root", "left_semi")
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = fps.join(linked.join(ids, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(of, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    # written first: a join of two exchanges can have its hot fingerprints split, one that reuses a partitioning can't
+    return rows.join(kept(of, "components"), "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
