@@ -27,15 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from runstore.llm.common import map_texts
+from runstore.llm.common import Memo, chunks, map_texts
 
 #: Determinised states kept by one encoder; beyond that the table starts afresh (results stay the same).
 MAX_STATES = 200_000
-MAX_WORDS = 300_000
+MAX_WORDS = 500_000
 #: Bytes of a chunk after which settled tokens are handed out.
 SETTLE_EVERY = 4096
-#: Characters beyond which a text's chunks are found one by one.
-LONG_TEXT = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -272,34 +270,21 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, array] = {}
+        #: Of each distinct chunk, its ids as little-endian unsigned 32-bit integers.
+        self.words = Memo(self._word, MAX_WORDS)
 
-    def chunks(self, text: str) -> Iterable[str]:
-        if len(text) <= LONG_TEXT:
-            return self.pattern.findall(text)
-        return (match[0] for match in self.pattern.finditer(text))
+    def _word(self, word: str) -> bytes:
+        data = word.encode("utf-8")
+        return array("I", self.machine.chunk(data) if len(data) <= SETTLE_EVERY else self.machine.stream(data)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        words, out = self.words, array("I")
-        for word in self.chunks(text):
-            try:
-                out.extend(words[word])
-            except KeyError:
-                data = word.encode("utf-8")
-                if len(data) > 256:  # too long to be worth keeping
-                    out.extend(self.machine.stream(data))
-                    continue
-                if len(words) >= MAX_WORDS:
-                    words.clear()
-                words[word] = ids = array("I", self.machine.chunk(data))
-                out.extend(ids)
-        return np.frombuffer(out, dtype="<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, chunks(self.pattern, text))), dtype="<u4")
 
     def decode(self, ids: np.ndarray, piece: int = 4096) -> Iterator[bytes]:
         """Complete characters' bytes, a piece of ids at a time."""
-        machine, of = Utf8Machine(), self.machine.bytes_of
+        machine, of = Utf8Machine(), self.machine.bytes_of.__getitem__
         for lo in range(0, len(ids), piece):
-            yield machine.feed(b"".join([of[i] for i in ids[lo : lo + piece].tolist()]))
+            yield machine.feed(b"".join(map(of, ids[lo : lo + piece].tolist())))
         machine.finish()
 
 

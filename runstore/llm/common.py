@@ -59,6 +59,29 @@ def _clean() -> None:
             return
 
 
+class Memo(dict):
+    """What ``make`` gives for a word; short words are kept, up to ``most`` of them, then it starts afresh."""
+
+    def __init__(self, make: Callable, most: int, longest: int = 256):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, word: str):
+        value = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
+        return value
+
+
+def chunks(pattern, text: str):
+    """The matches of a split pattern; those of a very long text one by one."""
+    if len(text) <= 1_000_000:
+        return pattern.findall(text)
+    return (m[0] for m in pattern.finditer(text))
+
+
 def columns_but(df: DataFrame, names: list[str]) -> list[str]:
     """df's columns except those that an output column of the same name (any case) replaces."""
     taken = {n.lower() for n in names}

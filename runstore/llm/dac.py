@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runstore.llm.common import new_path, with_batches
-from runstore.llm.tokencount import BYTE_LEVEL
+from runstore.llm.common import Memo, chunks, new_path, with_batches
+from runstore.llm.tokencount import BYTE_LEVEL, printable_bytes
 
 END_ID = 0
 FILE_IDS = 1 << 19
 BITS = 8
 RANK_BLOCK = 512
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 
 
 def encode_ids(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -126,8 +127,8 @@ class LibraryEncoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     A byte-level BPE file merges within matches of its split pattern only, so each distinct match is
-    given to the library once and its ids are kept; special tokens are cut out first, as the library
-    does.  For any other kind of file the whole text goes to the library.
+    given to the library's model once and its ids are kept; special tokens are cut out first, as the
+    library does.  For any other kind of file the whole text goes to the library.
     """
 
     def __init__(self, path: str):
@@ -145,36 +146,28 @@ class LibraryEncoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pattern = regex.compile(BYTE_LEVEL)
-        self.words: dict[str, list[int]] = {}
+        self.model = self.library.model
+        self.shown = {b: c for c, b in printable_bytes().items()}
+        #: Of each distinct match, its ids as little-endian unsigned 32-bit integers.
+        self.words = Memo(self._word, MAX_WORDS)
+
+    def _word(self, word: str) -> bytes:
+        shown = word.encode("utf-8").decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, chunks(self.pattern, text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        split, found = [], self.pattern.findall
-        new: dict[str, None] = {}
-        for text in texts:
-            words: list = []
-            for piece in self.special.split(text) if self.special else [text]:
-                words.extend([self.added[piece]] if piece in self.added else found(piece))
-            split.append(words)
-            for w in words:
-                if w not in self.words and type(w) is str:
-                    new[w] = None
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.words.clear()
-            new = {w: None for words in split for w in words if type(w) is str}
-        fresh = list(new)
-        for word, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.words[word] = e.ids
         out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                if type(w) is int:
-                    ids.append(w)
-                else:
-                    ids += self.words[w]
-            out.append(np.array(ids, "<u4"))
+        for text in texts:
+            if self.special is not None and self.special.search(text):
+                ids = b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self._plain(p) for p in self.special.split(text))
+            else:
+                ids = self._plain(text)
+            out.append(np.frombuffer(ids, "<u4"))
         return out
 
 

@@ -19,11 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from runstore.llm.common import map_texts
+from runstore.llm.common import Memo, chunks, map_texts
 
 MAX_WORDS = 600_000
-#: Characters beyond which a text's chunks are found one by one.
-LONG_TEXT = 1_000_000
 #: The split that a ByteLevel pre-tokenizer with use_regex makes (fixed value of that format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,7 +62,7 @@ class Counter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.pattern = regex.compile(BYTE_LEVEL)
-        self.words: dict[str, int] = {}
+        self.words = Memo(lambda word: self.merged(word.encode("utf-8")), MAX_WORDS)
 
     def merged(self, data: bytes) -> int:
         """Symbols left after all merges."""
@@ -102,19 +100,7 @@ class Counter:
         return n - done
 
     def plain(self, text: str) -> int:
-        words, total = self.words, 0
-        long = len(text) > LONG_TEXT
-        for word in (m[0] for m in self.pattern.finditer(text)) if long else self.pattern.findall(text):
-            try:
-                total += words[word]
-            except KeyError:
-                n = self.merged(word.encode("utf-8"))
-                if len(word) <= 256:
-                    if len(words) >= MAX_WORDS:
-                        words.clear()
-                    words[word] = n
-                total += n
-        return total
+        return sum(map(self.words.__getitem__, chunks(self.pattern, text)))
 
     def count(self, text: str) -> int:
         if self.special is None:
