@@ -117,9 +117,9 @@ class DacFile:
         return out
 
     def documents(self) -> Iterator[np.ndarray]:
-        lo = 0
+        lo, ids = 0, self.run(0, self.n_ids)  # all at once: a run for each short document costs more
         for hi in self.ends.tolist():
-            yield self.run(lo, hi)
+            yield ids[lo:hi]
             lo = hi
 
 
