@@ -31,7 +31,7 @@ from runstore.llm.common import Memo, chunks, map_texts
 
 #: Determinised states kept by one encoder; beyond that the table starts afresh (results stay the same).
 MAX_STATES = 200_000
-MAX_WORDS = 500_000
+MAX_WORDS = 800_000
 #: Bytes of a chunk after which settled tokens are handed out.
 SETTLE_EVERY = 4096
 

@@ -37,7 +37,7 @@ END_ID = 0
 FILE_IDS = 1 << 19
 BITS = 8
 RANK_BLOCK = 512
-MAX_WORDS = 600_000
+MAX_WORDS = 1_000_000
 
 
 def encode_ids(ids: np.ndarray, ends: np.ndarray) -> bytes:
