@@ -23,11 +23,10 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from runstore.llm.common import Memo, chunks, map_texts
+from runstore.llm.common import Memo, Splitter, map_texts
 
 #: Determinised states kept by one encoder; beyond that the table starts afresh (results stay the same).
 MAX_STATES = 200_000
@@ -269,7 +268,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
-        self.pattern = regex.compile(pattern)
+        self.split = Splitter(pattern)
         #: Of each distinct chunk, its ids as little-endian unsigned 32-bit integers.
         self.words = Memo(self._word, MAX_WORDS)
 
@@ -278,7 +277,7 @@ class Codec:
         return array("I", self.machine.chunk(data) if len(data) <= SETTLE_EVERY else self.machine.stream(data)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, chunks(self.pattern, text))), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype="<u4")
 
     def decode(self, ids: np.ndarray, piece: int = 4096) -> Iterator[bytes]:
         """Complete characters' bytes, a piece of ids at a time."""

@@ -8,11 +8,13 @@ of this machine is used.  They stay until the Python process ends, because lazy
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,11 +77,25 @@ class Memo(dict):
         return value
 
 
-def chunks(pattern, text: str):
+#: The split that a ByteLevel pre-tokenizer with use_regex makes (fixed value of that format).
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What it amounts to on ASCII; no other branch can match where a contraction begins, so words may come first.
+_ASCII = re.compile(r""" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
+_PLAIN = regex.compile(r""" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+
+
+class Splitter:
     """The matches of a split pattern; those of a very long text one by one."""
-    if len(text) <= 1_000_000:
-        return pattern.findall(text)
-    return (m[0] for m in pattern.finditer(text))
+
+    def __init__(self, pattern: str = BYTE_LEVEL):
+        known = pattern == BYTE_LEVEL
+        self.any, self.ascii = (_PLAIN, _ASCII) if known else [regex.compile(pattern)] * 2
+
+    def __call__(self, text: str):
+        pattern = self.ascii if text.isascii() else self.any
+        if len(text) <= 1_000_000:
+            return pattern.findall(text)
+        return (m[0] for m in pattern.finditer(text))
 
 
 def columns_but(df: DataFrame, names: list[str]) -> list[str]:

@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runstore.llm.common import Memo, chunks, new_path, with_batches
-from runstore.llm.tokencount import BYTE_LEVEL, printable_bytes
+from runstore.llm.common import Memo, Splitter, new_path, with_batches
+from runstore.llm.tokencount import printable_bytes
 
 END_ID = 0
 FILE_IDS = 1 << 19
@@ -145,7 +145,7 @@ class LibraryEncoder:
         self.by_word = spec["normalizer"] is None and spec["post_processor"] is None and not spec["truncation"] and not spec["padding"] and plain and pre == pre | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.pattern = regex.compile(BYTE_LEVEL)
+        self.split = Splitter()
         self.model = self.library.model
         self.shown = {b: c for c, b in printable_bytes().items()}
         #: Of each distinct match, its ids as little-endian unsigned 32-bit integers.
@@ -156,14 +156,14 @@ class LibraryEncoder:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, chunks(self.pattern, text)))
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         out = []
         for text in texts:
-            if self.special is not None and self.special.search(text):
+            if any(map(text.__contains__, self.added)):
                 ids = b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self._plain(p) for p in self.special.split(text))
             else:
                 ids = self._plain(text)

@@ -19,11 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from runstore.llm.common import Memo, chunks, map_texts
+from runstore.llm.common import Memo, Splitter, map_texts
 
 MAX_WORDS = 600_000
-#: The split that a ByteLevel pre-tokenizer with use_regex makes (fixed value of that format).
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def printable_bytes() -> dict[str, int]:
@@ -60,8 +58,9 @@ class Counter:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[number[a], number[b]] = (rank, number[a + b])
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.added = added
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.pattern = regex.compile(BYTE_LEVEL)
+        self.split = Splitter()
         self.words = Memo(lambda word: self.merged(word.encode("utf-8")), MAX_WORDS)
 
     def merged(self, data: bytes) -> int:
@@ -100,10 +99,10 @@ class Counter:
         return n - done
 
     def plain(self, text: str) -> int:
-        return sum(map(self.words.__getitem__, chunks(self.pattern, text)))
+        return sum(map(self.words.__getitem__, self.split(text)))
 
     def count(self, text: str) -> int:
-        if self.special is None:
+        if not any(map(text.__contains__, self.added)):
             return self.plain(text)
         total = at = 0
         for match in self.special.finditer(text):

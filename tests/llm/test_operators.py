@@ -434,3 +434,18 @@ def test_peaks_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(media, "BLOCK", 37)
     parts = media.fingerprints(samples)
     assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_splitter_is_the_pattern():
+    import regex
+
+    from runstore.llm.common import BYTE_LEVEL, Splitter
+
+    assert BYTE_LEVEL == public_tokenizers.PATTERN
+    pattern, split = regex.compile(BYTE_LEVEL), Splitter()
+    rng = np.random.default_rng(9)
+    plain = list("abst'lremvd1.,_ \n\t\r\x0b\x1c\x1f\0") + [" "] * 4 + ["'"] * 3
+    for alphabet in (plain, [*plain, "\x85", "\xa0", "　", "é", "²", "日", "́"]):
+        for _ in range(4000):
+            text = "".join(rng.choice(alphabet, rng.integers(0, 25)))
+            assert split(text) == pattern.findall(text), repr(text)
