@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runstore.shipping import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python operator at once; with texts of a few MB this stays within a small worker.
 SUB_BATCH = 128
@@ -155,6 +157,7 @@ def map_texts(
 
 
 def with_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough for workers of a few hundred MB, unless the session chose less."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1024:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """Readies the session for Python operators: the package on the workers, Arrow batches small enough for workers of a few hundred MB, unless the session chose less."""
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 256:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")

@@ -240,7 +240,7 @@ def read_dac(spark, path: str, keep_ids: bool = False) -> DataFrame:
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    with_batches(spark)
     return files.select("part", "begin", "doc_ids", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runstore.llm.common import columns_but, kept, quoted, word_count
+from runstore.llm.common import columns_but, kept, quoted, with_batches, word_count
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
@@ -134,6 +134,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, doc_id: str = "do
                 yield pd.DataFrame({"_s": s, "size": e["size"], "_slice": e["_slice"], "extra": extra})[extra > 0]
 
     grouped = counts.groupBy("_s").agg(F.collect_list(F.struct("size", "_slice", "n")).alias("entries"))
+    with_batches(docs.sparkSession)
     extra = kept(grouped.mapInPandas(planned, "_s string, size long, _slice int, extra long"), "plan")
     rank = F.row_number().over(Window.partitionBy("_s", "size", "_slice").orderBy("_h", quoted(doc_id)))
     out = rows.join(extra, ["_s", "size", "_slice"], "left").withColumn("_r", rank)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runstore.llm.common import columns_but, kept, map_texts, quoted
+from runstore.llm.common import columns_but, kept, map_texts, quoted, with_batches
 
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
 LEAF = 128
@@ -166,6 +166,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found(held)], names=["a", "b"])
 
+    with_batches(fps.sparkSession)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -216,8 +217,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one whose id names it.
 
-    Rows that share that very id (repeated rows) stay together; a component without any id stays whole.
+    A row is known by id and text hash, so an id that is used for two texts loses only the copy, and
+    of rows that are repeated one stays.  Rows without an id go if their component has a named one; where
+    none has an id, exact copies are still reduced to one.
     """
-    found = near_duplicates(docs.select(doc_id, text), doc_id, text)
-    gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone_")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone_"], "left_anti")
+    h = F.xxhash64(F.col(quoted(text)))
+    keyed = docs.withColumns({"_id_": F.col(quoted(doc_id)), "_hash_": h})
+    found = near_duplicates(keyed.select("_id_", "_hash_", F.col(quoted(text)).alias("text")), "_id_", "text")
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col("_id_").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("_id_").alias("_gone_"), F.col("_hash_").alias("_gone_hash_")).distinct()
+    left = keyed.join(gone, F.col("_id_").eqNullSafe(F.col("_gone_")) & (F.col("_hash_") == F.col("_gone_hash_")), "left_anti")
+    return left.dropDuplicates(["_id_", "_hash_"]).select(*[quoted(c) for c in docs.columns])

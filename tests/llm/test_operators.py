@@ -177,9 +177,18 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 300: 0, 101: 100, 102: 100, 200: 100}
 
 
-def test_keep_one(odd):
-    out = simhash.keep_one(odd.select("doc_id", "text")).collect()
-    assert sum(r.text is not None and r.text.startswith("hot text") for r in out) == 1
+def test_keep_one(spark, odd):
+    out = simhash.keep_one(odd)
+    assert out.columns == odd.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(kept) == len(set(kept)) and sum((t or "").startswith("hot text") for _, t in kept) == 1
+    rows = [r[:2] for r in odd_rows()]
+    named = {c for c in brute.linked([(d, brute.fingerprint(t)) for d, t in rows]) if c is not None}
+    assert {d for d, _ in kept if d is not None} == named
+    # an id used for two texts: only the copy goes
+    other = " ".join(f"other{i}" for i in range(50))
+    df = spark.createDataFrame([(1, "same text here " * 9), (2, "same text here " * 9), (2, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text == other) for r in simhash.keep_one(df).collect()) == [(1, False), (2, True)]
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------
