@@ -54,21 +54,33 @@ def _running(lengths):
     n = F.size(lengths)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: sums(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), lambda x: x))
     spread = lambda inner: F.flatten(F.zip_with(inner, sums(inner, lambda x: x["sum"])["all"], lambda b, base: F.transform(b["all"], lambda x: x + base)))
-    return F.when(n > 0, spread(blocks)).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, _let(blocks, spread)).otherwise(F.array().cast("array<int>"))
+
+
+def _let(value, body):
+    """body(value) with the value computed once: functions with lambdas share no common subexpressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _places(text, pattern: str):
     """Matches as array<struct<start, end, value>> in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: g + F.length(m))
-    return F.zip_with(_running(sizes), F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda at, x: F.when(x["m"].isNotNull(), F.struct((at + x["g"]).alias("start"), (at + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("value"))))
+
+    def of(found, gaps):
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: g + F.length(m))
+        pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        place = lambda at, x: F.when(x["m"].isNotNull(), F.struct((at + x["g"]).alias("start"), (at + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("value")))
+        return F.zip_with(_let(sizes, _running), pairs, place)
+
+    found = lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    gaps = lambda t: F.transform(F.split(t, pattern, -1), lambda g: F.length(g))
+    return _let(text, lambda t: _let(found(t), lambda f: _let(gaps(t), lambda g: of(f, g))))
 
 
 def _luhn(digits):
     """Whether the checksum of a string of digits holds; every second digit from the right is doubled."""
-    back = F.reverse(digits)
-    return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), lambda acc, i: acc + F.when(i % 2 == 1, F.substring(back, i, F.lit(1)).cast("int")).otherwise(F.substring(F.translate(back, "0123456789", "0246813579"), i, F.lit(1)).cast("int"))) % 10 == 0
+    single = lambda d, i: F.substring(d, i, F.lit(1)).cast("int")
+    value = lambda b, i: F.when(i % 2 == 1, single(b, i)).otherwise(single(F.translate(b, "0123456789", "0246813579"), i))
+    return _let(F.reverse(digits), lambda b: F.aggregate(F.sequence(F.lit(1), F.length(b)), F.lit(0), lambda acc, i: acc + value(b, i))) % 10 == 0
 
 
 def _valid(kind: str, value):
@@ -77,7 +89,7 @@ def _valid(kind: str, value):
         part = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
         return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
-        return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
+        return _let(digits, lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(digits).between(9, 15)
     return F.lit(True)
@@ -117,8 +129,8 @@ def near_terms(spans: DataFrame, text: str = "text") -> DataFrame:
         lo = F.greatest(s["start"] - NEAR, F.lit(0))
         left = F.substring(F.col("_plain"), lo + 1, s["start"] - lo)
         right = F.substring(F.col("_plain"), s["end"] + 1, F.lit(NEAR))
-        e = _entity(s)
-        return F.concat(terms(left, e, lo, lambda x: (x["start"] == 0) & (lo > 0)), terms(right, e, s["end"], lambda x: x["end"] == NEAR))
+        both = lambda e: F.concat(terms(left, e, lo, lambda x: (x["start"] == 0) & (lo > 0)), terms(right, e, s["end"], lambda x: x["end"] == NEAR))
+        return _let(_entity(s), both)
 
     none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
     near = F.when(F.size("base") > 0, F.array_distinct(F.flatten(F.transform("base", around)))).otherwise(none)
