@@ -6,9 +6,9 @@ source's lengths), and for what is left a bounded-knapsack dynamic programme ove
 which finds the sum nearest below the budget and how many documents of each length make it.  Which
 documents these are is drawn by seed: those of lowest hash in their length.
 
-Only counts go to the planner: one row for each source, with one entry for each (length, slice); a slice
-is a fixed share of a length's documents by hash, so that no task ever ranks more than that share of a hot
-group.  Targets need one total for each source on the driver; nothing else is gathered.
+Only counts go to the planner: one row for each source, with one entry for each distinct length.  What it
+takes of a length is dealt to slices in DataFrame operations; a slice is a fixed share of a length's documents
+by hash, so that no task ever ranks more than that share of a hot group.  Targets need one total for each source on the driver; nothing else is gathered.
 
 Defined cases: null text has size 0; null source is a source of its own and comes last; a source without
 words has target 0 and takes nothing; documents without words are never taken; repeated rows are drawn each; an
@@ -120,22 +120,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, doc_id: str = "do
 
     def planned(frames):
         for frame in frames:
-            for s, entries in zip(frame["_s"], frame["entries"], strict=True):
-                e = pd.DataFrame([tuple(x) if not isinstance(x, dict) else (x["size"], x["_slice"], x["n"]) for x in entries], columns=["size", "_slice", "n"])
-                e = e[e["size"] > 0].sort_values(["size", "_slice"])
-                if e.empty:
-                    continue
-                by = e.groupby("size")["n"].sum()
+            for s, sizes, ns in zip(frame["_s"], frame["sizes"], frame["ns"], strict=True):
+                by = pd.Series(np.asarray(ns, np.int64), np.asarray(sizes, np.int64)).sort_index()
                 whole = min(max_repeats, int(goal[s] // totals[s]))
                 rest = int(goal[s]) - whole * totals[s] if whole < max_repeats else 0
-                take = pd.Series(plan(by.index.to_numpy(np.int64), by.to_numpy(np.int64), rest), by.index)
-                before = e.groupby("size")["n"].cumsum() - e["n"]
-                extra = np.clip(e["size"].map(take).to_numpy() - before.to_numpy(), 0, e["n"].to_numpy())
-                yield pd.DataFrame({"_s": s, "size": e["size"], "_slice": e["_slice"], "extra": extra})[extra > 0]
+                take = plan(by.index.to_numpy(), by.to_numpy(), rest)
+                yield pd.DataFrame({"_s": s, "size": by.index, "take": take})[take > 0]
 
-    grouped = counts.groupBy("_s").agg(F.collect_list(F.struct("size", "_slice", "n")).alias("entries"))
+    lengths = counts.where("size > 0").groupBy("_s", "size").agg(F.sum("n").alias("n"))
+    grouped = lengths.groupBy("_s").agg(F.collect_list(F.struct("size", "n")).alias("e")).select("_s", F.col("e.size").alias("sizes"), F.col("e.n").alias("ns"))
     with_batches(docs.sparkSession)
-    extra = kept(grouped.mapInPandas(planned, "_s string, size long, _slice int, extra long"), "plan")
+    take = grouped.mapInPandas(planned, "_s string, size long, take long")
+    # a length's documents are taken slice by slice; at most ``slices`` rows in each window
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_s", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.least("n", F.col("take") - F.col("before"))
+    extra = counts.withColumn("before", before).join(take, ["_s", "size"]).select("_s", "size", "_slice", share.alias("extra")).where("extra > 0")
+    extra = kept(extra, "plan")
     rank = F.row_number().over(Window.partitionBy("_s", "size", "_slice").orderBy("_h", quoted(doc_id)))
     out = rows.join(extra, ["_s", "size", "_slice"], "left").withColumn("_r", rank)
     known = sorted(totals)
