@@ -13,6 +13,10 @@ large-star and small-star steps on the (few) links, each round written to the sh
 A tree lives in the task of its shard.  Broadcasting all shard trees would send every distinct
 fingerprint to every executor, which grows with the data; dealing queries to their trees finds the same links.
 
+``keep_one``, the pipeline's stage, has settings of its own: near copies are texts with a Jaccard similarity of 0.8
+or more over 5-word shingles.  SimHash cannot find these (at 0.8 about ten of 64 bits differ), so its
+candidates share a MinHash band of six rows; of 32 bands a pair at 0.8 shares one with 99.99 %.  Candidates are then compared exactly.
+
 Defined cases: null or wordless text has fingerprint zero and is linked like any other; null doc_ids never
 name a component (null if it has no other); repeated rows are kept; an empty table gives an empty result; extra columns pass through.
 """
@@ -36,16 +40,22 @@ LEAF = 128
 #: Queries that go down a tree together, which bounds the distance matrix of a leaf.
 TOGETHER = 2048
 CHUNK = 65_536
+#: ``keep_one``: words of a shingle and the similarity from which texts are near copies (the general rule for
+#: word shingles, not operator 3's contract), MinHash bands and rows of each.
+NEAR_SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, 0.8, 32, 6
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit b is set if it is set in over half the hashes of the text's shingles."""
-    words = (text or "").encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII blanks split
-    if not words:
-        return 0
-    digest, total, votes = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII blanks split
+
+
+def hashes(words: list[bytes], shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, in pieces; one of all the words where there are no more than make a shingle."""
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
+        yield np.array([digest(b" ".join(words), seed)], np.uint64)
+        return
+    total = len(words) - shingle + 1
     for lo in range(0, total, CHUNK):
         hi = min(total, lo + CHUNK)
         part = words[lo : hi + shingle - 1]
@@ -54,7 +64,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
             at += 1 + len(w)
             ends.append(at)
         starts = [0] + [e + 1 for e in ends[: hi - lo - 1]]
-        h = np.fromiter([digest(line[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64, hi - lo)
+        yield np.fromiter([digest(line[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64, hi - lo)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bit b is set if it is set in over half the hashes of the text's shingles."""
+    words = split(text)
+    if not words:
+        return 0
+    total, votes = 0, np.zeros(64, np.int64)
+    for h in hashes(words, shingle, seed):
+        total += len(h)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * votes > total).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
@@ -214,8 +234,87 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(kept(of, "components"), "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; none for a text without words."""
+    words = split(text)
+    return np.unique(np.concatenate(list(hashes(words, shingle, seed)))) if words else np.zeros(0, np.uint64)
+
+
+def band_keys(own: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
+    """MinHash keys of a set: two sets share that of a band where their least hashes are the same for all its rows."""
+    if not len(own):
+        return []
+    by = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(own), 512):
+        low = np.minimum(low, (own[lo : lo + 512, None] * by).min(axis=0))
+    return [signed(xxhash.xxh64_intdigest(low[i * rows : (i + 1) * rows].tobytes(), i)) for i in range(bands)]
+
+
+def similar_groups(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """For each set the first one that it is connected with by Jaccard similarities of at least ``least``; exact."""
+    size, label = np.array([len(s) for s in sets], np.int64), np.full(len(sets), -1)
+    todo, left, built, at = [], len(sets), 0, 0
+    while left:
+        if not todo:
+            while label[at] >= 0:
+                at += 1
+            label[at] = at
+            todo.append(at)
+            left -= 1
+        if not built or 2 * left < built:  # an index of what is not yet in a group
+            own = np.nonzero(label < 0)[0]
+            keys, owner, built = np.concatenate([sets[i] for i in own] or [np.zeros(0, np.uint64)]), np.repeat(own, size[own]), max(1, len(own))
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+        q = todo.pop()
+        lo, hi = np.searchsorted(keys, sets[q], "left"), np.searchsorted(keys, sets[q], "right")
+        n = hi - lo
+        met, both = np.unique(owner[np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())], return_counts=True)
+        near = met[(label[met] < 0) & (both >= least * (size[met] + size[q] - both) - 1e-9)]
+        label[near] = label[q]
+        todo += near.tolist()
+        left -= len(near)
+    return label
+
+
+def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the text, plus root (long): the same for texts connected by similarities of at least SIMILAR.
+
+    Texts of equal shingle sets are one node.  Nodes that share a MinHash band, and what these connect, are
+    candidates; the sets of each connected lot of candidates are compared exactly in one task.
+    """
+
+    def start():
+        def made(texts):
+            sets = [shingle_set(t) for t in texts]
+            return {"node": [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], "bands": [band_keys(s) for s in sets]}
+
+        return made
+
+    h = F.xxhash64(F.col(quoted(text)))
+    made = T.StructType([T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    rows = kept(map_texts(docs.withColumn("_text_hash_", h), text, made, start), "shingles")
+    nodes = rows.select("node", "bands").distinct().select("node", F.explode("bands").alias("band"))
+    shared = nodes.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("band", "b")
+    lots = components(nodes.join(shared, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "candidates")
+    lots = lots.unionByName(lots.select(F.col("root").alias("a"), "root")).distinct().withColumnRenamed("a", "node")
+    # one text of each candidate
+    lots = kept(rows.join(lots, "node").groupBy("node").agg(F.min("_text_hash_").alias("_text_hash_"), F.first("root").alias("lot")), "lots")
+    texts = docs.select(h.alias("_text_hash_"), F.col(quoted(text)).alias("text")).join(lots.select("_text_hash_"), "_text_hash_", "left_semi").dropDuplicates(["_text_hash_"])
+
+    def compared(frame):
+        frame = frame.sort_values("node", ignore_index=True)
+        label = similar_groups([shingle_set(t) for t in frame["text"]])
+        return frame[["node"]].assign(root=frame["node"].to_numpy()[label])
+
+    with_batches(docs.sparkSession)
+    roots = kept(texts.join(lots, "_text_hash_").groupBy("lot").applyInPandas(compared, "node long, root long").where("node <> root"), "roots")
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node", "bands", "_text_hash_")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one whose id names it.
+    """docs with one document of each group of near copies (see ``near_groups``): that of the smallest id.
 
     A row is known by id and text hash, so an id that is used for two texts loses only the copy, and
     of rows that are repeated one stays.  Rows without an id go if their component has a named one; where
@@ -223,7 +322,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     h = F.xxhash64(F.col(quoted(text)))
     keyed = docs.withColumns({"_id_": F.col(quoted(doc_id)), "_hash_": h})
-    found = near_duplicates(keyed.select("_id_", "_hash_", F.col(quoted(text)).alias("text")), "_id_", "text")
+    found = near_groups(keyed.select("_id_", "_hash_", F.col(quoted(text)).alias("text")))
+    found = found.join(kept(found.groupBy("root").agg(F.min("_id_").alias("component_id")), "groups"), "root")
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("_id_").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("_id_").alias("_gone_"), F.col("_hash_").alias("_gone_hash_")).distinct()
     left = keyed.join(gone, F.col("_id_").eqNullSafe(F.col("_gone_")) & (F.col("_hash_") == F.col("_gone_hash_")), "left_anti")

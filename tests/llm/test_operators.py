@@ -191,6 +191,37 @@ def test_keep_one(spark, odd):
     assert sorted((r.doc_id, r.text == other) for r in simhash.keep_one(df).collect()) == [(1, False), (2, True)]
 
 
+def test_keep_one_drops_edited_copies(spark):
+    rng = np.random.default_rng(7)
+    vocab = [f"v{i}" for i in range(5000)]
+    texts, similar = [], 0
+    for n in (60, 100, 200, 400):
+        for _ in range(25):
+            a = rng.choice(vocab, n).tolist()
+            b = list(a)
+            for at in rng.choice(n, max(1, n // 60), replace=False):
+                b[at] = "edited"
+            x, y = (set(zip(*[w[i:] for i in range(5)])) for w in (a, b))
+            similar += len(x & y) >= 0.8 * len(x | y)
+            texts += [" ".join(a), " ".join(b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert similar >= 90 and len(texts) - len(kept) == similar and all(i in kept for i in range(0, len(texts), 2))
+
+
+def test_similar_groups_against_all_pairs():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 12, 9).astype(np.uint64)) for _ in range(120)]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * (len(a) + len(b) - both) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert simhash.similar_groups(sets).tolist() == label and len(set(label)) < 110
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------
 
 
