@@ -8,7 +8,7 @@ share of the entity's information that the term reveals is
     log(near * N / (entity * term)) / log(N / entity)        (pointwise mutual information / information content)
 
 A term that reveals at least ``remove`` is removed, at least ``generalise`` replaced by a general word,
-given ``support`` documents; only in documents that hold the entity, so documents without personal data
+given ``support`` documents; at every place it has in documents that hold the entity, but only there, so documents without personal data
 stay as they are.
 
 The patterns run with possessive loops and start only where a run of their first class starts or where the
@@ -41,7 +41,7 @@ NEAR = 48
 SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.8
 LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "", "generalise": "[TERM]"}
 _BLOCK = 256
-_made = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "base_sha256", "_key", "_near", "_added"]
+_made = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "base_sha256", "_key", "_near", "_plain", "_added"]
 
 
 def _running(lengths):
@@ -112,7 +112,7 @@ def _entity(span):
 
 
 def near_terms(spans: DataFrame, text: str = "text") -> DataFrame:
-    """spans plus ``_near``: array<struct<entity, term, start, end>>, the terms near each base span."""
+    """spans plus ``_near``: array<struct<entity, term, start, end>>, the terms near each base span, and ``_plain``, the text without addresses."""
     t = F.coalesce(F.col(quoted(text)), F.lit(""))
     mails = F.filter("base", lambda s: s["kind"] == "email")
     # addresses hold letters: they are blanked out, so that no part of one counts as a term
@@ -134,15 +134,21 @@ def near_terms(spans: DataFrame, text: str = "text") -> DataFrame:
 
     none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
     near = F.when(F.size("base") > 0, F.array_distinct(F.flatten(F.transform("base", around)))).otherwise(none)
-    return masked.withColumn("_near", near).drop("_plain")
+    return masked.withColumn("_near", near)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, plus base, _near and _key (the text's SHA-256), written once."""
+    """docs without the text, plus base, _near, _plain and _key (the text's SHA-256), written once."""
     keyed = near_terms(base_spans(docs, text), text).withColumn("_key", F.unhex(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256)))
     return kept(keyed.drop(text), "scan")
 
 
+def entities(found: DataFrame) -> DataFrame:
+    """(_key, entity, n): the entities of each distinct text and how many documents have that text."""
+    texts = found.where(F.size("base") > 0).groupBy("_key").agg(F.count("*").alias("n"), F.first("base").alias("base"))
+    return texts.select("_key", "n", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+
+
 def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share, action) of the terms that reveal too much, from counts over all documents."""
     total = found.agg(F.count("*").cast("double").alias("total"))
@@ -158,11 +164,13 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support:
 
 
 def added_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
-    """(_key, _added): the spans of revealing terms of each text that has any."""
-    hits = found.where(F.size("_near") > 0).select("_key", F.inline("_near")).join(revealed, ["entity", "term"])
-    one = hits.groupBy("_key", "start", "end").agg(F.max("action").alias("action"))  # remove wins over generalise
-    spans = F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", F.col("action").alias("kind")))
-    return one.groupBy("_key").agg(F.sort_array(spans).alias("_added"))
+    """(_key, _added): every occurrence of the terms that reveal an entity of the text, wherever it stands."""
+    hits = entities(found).join(revealed, "entity").groupBy("_key", "term").agg(F.max("action").alias("action"))  # remove wins over generalise
+    texts = found.where(F.size("base") > 0).select("_key", "_plain").dropDuplicates(["_key"]).join(hits.select("_key").distinct(), "_key", "left_semi")
+    places = texts.select("_key", F.explode(F.filter(_places(F.col("_plain"), LETTERS), lambda x: x.isNotNull())).alias("x"))
+    places = places.select("_key", F.lower("x.value").alias("term"), "x.start", "x.end")
+    spans = F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("k"), "end", F.col("action").alias("kind")))
+    return places.join(hits, ["_key", "term"]).groupBy("_key").agg(F.sort_array(spans).alias("_added"))
 
 
 def _joined(spans):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import brute
@@ -290,6 +291,19 @@ def test_revealing_terms(spark):
     assert all(clean[i] == t for i, t in noise)
 
 
+def test_revealing_terms_at_every_place(spark):
+    gap = "plain words that say nothing about anyone at all " * 3
+    noise = [(i, f"{gap} number {i}") for i in range(200)]
+    rows = noise + [(1000 + i, f"Zyxwv wrote from who@host.example.com {gap} yours ZYXWV {gap}Zyxwv") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = rows[-1][1]
+    at = [m.start() for m in re.finditer("zyxwv", text.lower())]
+    spans = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    assert len(at) == 3 and all(f"term:{a}:{a + 5}" in spans[1000].split(",") for a in at)
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert "zyxwv" not in clean[1000].lower() and all(clean[i] == t for i, t in noise)
+
+
 def test_sanitised_keeps_rows(odd):
     out = pii.sanitised(odd)
     assert out.columns == odd.columns
