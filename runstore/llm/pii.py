@@ -1,11 +1,11 @@
 """Personal data: pattern spans and information-theoretic sanitisation (operator 5); DataFrame operations only.
 
 The base spans are found by regular expressions.  Each stands for a protected entity (the normalised
-address or number).  Terms (words of at least three letters) near a span are candidates for disclosure.
-Over all documents it is counted how many hold the entity, the term, and the term near the entity; the
+address or number).  All terms (words of at least three letters outside addresses) of the documents that hold an entity
+are candidates for disclosure.  Over all documents it is counted how many hold the entity, the term, and both; the
 share of the entity's information that the term reveals is
 
-    log(near * N / (entity * term)) / log(N / entity)        (pointwise mutual information / information content)
+    log(both * N / (entity * term)) / log(N / entity)        (pointwise mutual information / information content)
 
 A term that reveals at least ``remove`` is removed, at least ``generalise`` replaced by a general word,
 given ``support`` documents; at every place it has in documents that hold the entity, but only there, so documents without personal data
@@ -36,12 +36,10 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 LETTERS = r"\p{L}{3,}+"
-#: Characters on either side of a span in which terms count as near.
-NEAR = 48
 SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.8
 LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "", "generalise": "[TERM]"}
 _BLOCK = 256
-_made = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "base_sha256", "_key", "_near", "_plain", "_added"]
+_made = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "base_sha256", "_key", "_plain", "_added"]
 
 
 def _running(lengths):
@@ -111,35 +109,22 @@ def _entity(span):
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(F.regexp_replace(span["value"], "[^0-9]+", "")))
 
 
-def near_terms(spans: DataFrame, text: str = "text") -> DataFrame:
-    """spans plus ``_near``: array<struct<entity, term, start, end>>, the terms near each base span, and ``_plain``, the text without addresses."""
-    t = F.coalesce(F.col(quoted(text)), F.lit(""))
-    mails = F.filter("base", lambda s: s["kind"] == "email")
-    # addresses hold letters: they are blanked out, so that no part of one counts as a term
-    pieces = F.zip_with(F.split(t, PATTERNS["email"][0], -1), mails, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit("0"), m["end"] - m["start"]), F.lit(""))))
-    plain = F.when(F.size(mails) > 0, F.array_join(pieces, "")).otherwise(t)
-    masked = spans.withColumn("_plain", F.when(F.size("base") > 0, plain))
-
-    def terms(piece, entity, offset, drop):
-        """Terms of a piece of text; the one that touches a cut edge may be half a word and is dropped."""
-        whole = F.filter(_places(piece, LETTERS), lambda x: x.isNotNull() & ~drop(x))
-        return F.transform(whole, lambda x: F.struct(entity.alias("entity"), F.lower(x["value"]).alias("term"), (x["start"] + offset).alias("start"), (x["end"] + offset).alias("end")))
+def _words(plain):
+    """The distinct terms of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(LETTERS), F.lit(0)), lambda x: F.lower(x)))
 
-    def around(s):
-        lo = F.greatest(s["start"] - NEAR, F.lit(0))
-        left = F.substring(F.col("_plain"), lo + 1, s["start"] - lo)
-        right = F.substring(F.col("_plain"), s["end"] + 1, F.lit(NEAR))
-        both = lambda e: F.concat(terms(left, e, lo, lambda x: (x["start"] == 0) & (lo > 0)), terms(right, e, s["end"], lambda x: x["end"] == NEAR))
-        return _let(_entity(s), both)
 
-    none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    near = F.when(F.size("base") > 0, F.array_distinct(F.flatten(F.transform("base", around)))).otherwise(none)
-    return masked.withColumn("_near", near)
+def _plain(text):
+    """The text with its addresses, which hold letters, blanked out, so that no part of one counts as a term; same length."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS["email"][0]), F.lit(0))
+    pieces = F.zip_with(F.split(text, PATTERNS["email"][0], -1), found, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit("0"), F.length(m)), F.lit(""))))
+    return F.when(text.contains("@"), F.array_join(pieces, "")).otherwise(text)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, plus base, _near, _plain and _key (the text's SHA-256), written once."""
-    keyed = near_terms(base_spans(docs, text), text).withColumn("_key", F.unhex(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256)))
+    """docs without the text, plus base, _plain (only where base has spans) and _key (the text's SHA-256), written once."""
+    t = F.coalesce(F.col(quoted(text)), F.lit(""))
+    keyed = base_spans(docs, text).withColumn("_key", F.unhex(F.sha2(t, 256))).withColumn("_plain", F.when(F.size("base") > 0, _plain(t)))
     return kept(keyed.drop(text), "scan")
 
 
@@ -152,14 +137,17 @@ def entities(found: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share, action) of the terms that reveal too much, from counts over all documents."""
     total = found.agg(F.count("*").cast("double").alias("total"))
-    near = found.where(F.size("_near") > 0).select(F.explode(F.array_distinct(F.transform("_near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    near = near.groupBy("x.entity", "x.term").agg(F.count("*").alias("near")).where(F.col("near") >= support)
-    entity = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(quoted(text))), F.lit(LETTERS), F.lit(0)))
-    term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    all_ = near.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total: one row
+    own = entities(found)
+    # an entity of fewer documents than the support has no term with it
+    entity = own.groupBy("entity").agg(F.sum("n").alias("with_entity")).where(F.col("with_entity") >= support)
+    open_ = own.join(entity.select("entity"), "entity", "left_semi")
+    plain = found.where(F.size("base") > 0).select("_key", "_plain").dropDuplicates(["_key"]).select("_key", _words(F.col("_plain")).alias("terms"))
+    both = open_.join(plain, "_key").select("entity", "n", F.explode("terms").alias("term"))
+    both = both.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support)
+    term = docs.select(F.explode(_words(_plain(F.col(quoted(text))))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    all_ = both.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total: one row
     content = F.log(F.col("total") / F.col("with_entity"))
-    share = F.when(content > 0, F.log(F.col("near") * F.col("total") / (F.col("with_entity") * F.col("with_term"))) / content).otherwise(0.0)
+    share = F.when(content > 0, F.log(F.col("both") * F.col("total") / (F.col("with_entity") * F.col("with_term"))) / content).otherwise(0.0)
     return all_.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise).withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise"))
 
 

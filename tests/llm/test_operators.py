@@ -304,6 +304,17 @@ def test_revealing_terms_at_every_place(spark):
     assert "zyxwv" not in clean[1000].lower() and all(clean[i] == t for i, t in noise)
 
 
+def test_revealing_terms_far_from_the_span(spark):
+    gap = "plain words that say nothing about anyone at all " * 3
+    noise = [(i, f"{gap} number {i}") for i in range(200)]
+    rows = noise + [(1000 + i, f"Zyxwv {gap} who@host.example.com {i}" if i % 2 else f"who@host.example.com {gap} {i} Zyxwv") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.scan(df)
+    (row,) = [r for r in pii.disclosures(df, found).collect() if r.term == "zyxwv"]
+    assert row.entity == "email:who@host.example.com" and abs(row.share - 1) < 1e-9 and row.action == "remove"
+    assert all("Zyxwv" not in r.text for r in pii.sanitised(df).collect())
+
+
 def test_sanitised_keeps_rows(odd):
     out = pii.sanitised(odd)
     assert out.columns == odd.columns
