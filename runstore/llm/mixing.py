@@ -28,7 +28,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 SLICES = 256
 SEED = 20
-#: Words of budget that the dynamic programme covers at most, and lengths it may combine.
+#: Words of budget that the loops before the dynamic programme leave it (it covers up to twice that), and lengths it combines first.
 DP_WORDS, DP_LENGTHS = 1 << 17, 512
 
 
@@ -98,11 +98,15 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         n = min(int(counts[at] - take[at]), (left - DP_WORDS // 2) // int(lengths[at])) if lengths[at] <= left - DP_WORDS // 2 else 0
         take[at] += n
         left -= n * int(lengths[at])
+    if left > 2 * DP_WORDS:  # any length still open is over three quarters of this, so one document fits at most
+        for at in np.nonzero((take < counts) & (lengths <= left))[0][-1:]:
+            take[at] += 1
+            left -= int(lengths[at])
     free = np.nonzero((take < counts) & (lengths <= left))[0]
     if len(free) > DP_LENGTHS:
         free = free[np.linspace(0, len(free) - 1, DP_LENGTHS).astype(int)]
     if len(free) and left > 0:
-        take[free] += np.array(fit(lengths[free].tolist(), (counts - take)[free].tolist(), min(left, 2 * DP_WORDS)), np.int64)
+        take[free] += np.array(fit(lengths[free].tolist(), (counts - take)[free].tolist(), left), np.int64)
     return take
 
 

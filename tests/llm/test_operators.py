@@ -90,6 +90,20 @@ def test_plan_meets_budget():
         assert 0 <= int(size * share) - int((lengths * take).sum()) <= 2
 
 
+def test_plan_of_a_few_long_documents():
+    lengths, counts = np.arange(300_001, 300_005), np.ones(4, np.int64)
+    take = mixing.plan(lengths, counts, 620_000)
+    assert take.sum() == 2
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        lengths = np.unique(rng.integers(150_000, 2_000_000, 6))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = int((lengths * counts).sum() * rng.random())
+        take = mixing.plan(lengths, counts, budget)
+        left = budget - int((lengths * take).sum())
+        assert left >= 0 and (lengths[take < counts] > left).all()  # nothing more fits
+
+
 def check_mix(rows, sizes):
     assert len(rows) == len(sizes)
     by = {}
