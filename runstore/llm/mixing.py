@@ -52,25 +52,29 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def fit(lengths: list[int], most: list[int], budget: int) -> list[int]:
-    """Bounded knapsack: how many of each length, so that their sum is nearest below the budget."""
-    items, reach = [], [1]
+    """Bounded knapsack: how many of each length, so that their sum is nearest below the budget; lengths after the budget is met aren't looked at."""
+    items, reach = [], 1
+    first = np.full(budget + 1, -1, np.int32)  # the item with which each sum was first reached
     mask = (1 << (budget + 1)) - 1
     for at, (length, n) in enumerate(zip(lengths, most, strict=True)):
         n, piece = min(n, budget // length) if length > 0 else 0, 1
         while n > 0:  # counts as sums of powers of two
             take = min(piece, n)
-            items.append((at, take, take * length))
-            reach.append((reach[-1] | reach[-1] << take * length) & mask)
+            new = (reach << take * length) & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                first[np.nonzero(np.unpackbits(bits, bitorder="little")[: budget + 1])[0]] = len(items)
+                items.append((at, take, take * length))
+                reach |= new
             n -= take
             piece *= 2
-        if reach[-1] >> budget & 1:
+        if reach >> budget & 1:
             break
-    value, out = reach[-1].bit_length() - 1, [0] * len(lengths)
-    for k in range(len(items), 0, -1):
-        if not reach[k - 1] >> value & 1:
-            at, take, words = items[k - 1]
-            out[at] += take
-            value -= words
+    value, out = reach.bit_length() - 1, [0] * len(lengths)
+    while value:
+        at, take, words = items[first[value]]
+        out[at] += take
+        value -= words
     return out
 
 
@@ -104,7 +108,9 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             left -= int(lengths[at])
     free = np.nonzero((take < counts) & (lengths <= left))[0]
     if len(free) > DP_LENGTHS:
-        free = free[np.linspace(0, len(free) - 1, DP_LENGTHS).astype(int)]
+        early = np.zeros(len(free), bool)  # an even choice of lengths comes first, which mostly meets the budget
+        early[np.linspace(0, len(free) - 1, DP_LENGTHS).astype(int)] = True
+        free = np.concatenate([free[early], free[~early]])
     if len(free) and left > 0:
         take[free] += np.array(fit(lengths[free].tolist(), (counts - take)[free].tolist(), left), np.int64)
     return take

@@ -104,6 +104,14 @@ def test_plan_of_a_few_long_documents():
         assert left >= 0 and (lengths[take < counts] > left).all()  # nothing more fits
 
 
+def test_plan_goes_on_over_all_lengths():
+    # only the odd length can meet an odd rest, and an even choice of 512 leaves it out
+    lengths = np.sort(np.append(np.arange(1000, 5000, 2), 1407))
+    counts = np.ones(len(lengths), np.int64)
+    for budget in (20_001, 40_001, 120_001, 200_001):
+        assert int((lengths * mixing.plan(lengths, counts, budget)).sum()) == budget
+
+
 def check_mix(rows, sizes):
     assert len(rows) == len(sizes)
     by = {}
