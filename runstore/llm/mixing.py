@@ -78,7 +78,15 @@ def fit(lengths: list[int], most: list[int], budget: int) -> list[int]:
     return out
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def drawn(lengths: np.ndarray, seed: int) -> np.ndarray:
+    """A seeded hash of each length (splitmix64)."""
+    x = lengths.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(by)
+    return x ^ x >> np.uint64(31)
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
     """How many documents of each (distinct, positive) length to take for the budget, once each."""
     size = int((lengths * counts).sum())
     if budget >= size:
@@ -90,7 +98,8 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     left = budget - int((lengths * take).sum())
     part = np.array([e % size for e in exact], dtype=object)
     keep_back = min(DP_WORDS, 4 * int(np.median(np.repeat(lengths, np.minimum(counts, 1)))))
-    for at in sorted(range(len(lengths)), key=lambda i: (-part[i], i)):  # largest remainders first
+    tie = drawn(lengths, seed)  # lengths that occur equally often have equal remainders
+    for at in sorted(range(len(lengths)), key=lambda i: (-part[i], tie[i], i)):  # largest remainders first
         if left <= keep_back:
             break
         if take[at] < counts[at] and lengths[at] <= left - keep_back // 2:
@@ -134,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, doc_id: str = "do
                 by = pd.Series(np.asarray(ns, np.int64), np.asarray(sizes, np.int64)).sort_index()
                 whole = min(max_repeats, int(goal[s] // totals[s]))
                 rest = int(goal[s]) - whole * totals[s] if whole < max_repeats else 0
-                take = plan(by.index.to_numpy(), by.to_numpy(), rest)
+                take = plan(by.index.to_numpy(), by.to_numpy(), rest, seed)
                 yield pd.DataFrame({"_s": s, "size": by.index, "take": take})[take > 0]
 
     lengths = counts.where("size > 0").groupBy("_s", "size").agg(F.sum("n").alias("n"))

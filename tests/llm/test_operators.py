@@ -112,6 +112,16 @@ def test_plan_goes_on_over_all_lengths():
         assert int((lengths * mixing.plan(lengths, counts, budget)).sum()) == budget
 
 
+def test_plan_takes_the_same_share_of_unique_lengths():
+    rng = np.random.default_rng(9)
+    lengths = np.unique(rng.lognormal(7, 1, 20_000).astype(np.int64) + 1)
+    counts = np.ones(len(lengths), np.int64)
+    for share in (0.3, 0.6):
+        take = mixing.plan(lengths, counts, int(share * lengths.sum()))
+        tenths = [t.mean() for t in np.array_split(take, 10)]
+        assert max(abs(t - share) for t in tenths) < 0.1, tenths
+
+
 def check_mix(rows, sizes):
     assert len(rows) == len(sizes)
     by = {}
