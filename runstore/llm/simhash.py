@@ -314,17 +314,15 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near copies (see ``near_groups``): that of the smallest id.
+    """docs with one document of each group of near copies (see ``near_groups``): that of the smallest id, null last, then of the smallest text hash.
 
-    A row is known by id and text hash, so an id that is used for two texts loses only the copy, and
-    of rows that are repeated one stays.  Rows without an id go if their component has a named one; where
-    none has an id, exact copies are still reduced to one.
+    A row is known by id and text hash, so an id that is used for two texts that are no near copies loses
+    neither; of rows that are repeated one stays.
     """
     h = F.xxhash64(F.col(quoted(text)))
     keyed = docs.withColumns({"_id_": F.col(quoted(doc_id)), "_hash_": h})
     found = near_groups(keyed.select("_id_", "_hash_", F.col(quoted(text)).alias("text")))
-    found = found.join(kept(found.groupBy("root").agg(F.min("_id_").alias("component_id")), "groups"), "root")
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("_id_").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("_id_").alias("_gone_"), F.col("_hash_").alias("_gone_hash_")).distinct()
-    left = keyed.join(gone, F.col("_id_").eqNullSafe(F.col("_gone_")) & (F.col("_hash_") == F.col("_gone_hash_")), "left_anti")
-    return left.dropDuplicates(["_id_", "_hash_"]).select(*[quoted(c) for c in docs.columns])
+    order = F.struct(F.col("_id_").isNull().alias("none"), F.col("_id_").alias("id"), F.col("_hash_").alias("hash"))
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias("_first_"), F.col("first.hash").alias("_first_hash_"))
+    stay = keyed.join(kept(first, "groups"), F.col("_id_").eqNullSafe(F.col("_first_")) & (F.col("_hash_") == F.col("_first_hash_")), "left_semi")
+    return stay.dropDuplicates(["_id_", "_hash_"]).select(*[quoted(c) for c in docs.columns])

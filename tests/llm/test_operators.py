@@ -242,6 +242,15 @@ def test_keep_one_drops_edited_copies(spark):
     assert similar >= 90 and len(texts) - len(kept) == similar and all(i in kept for i in range(0, len(texts), 2))
 
 
+def test_keep_one_leaves_one_of_a_group(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join(words[:i] + ["edited"] + words[i + 1 :]) for i in (50, 100, 150)]
+    schema = "doc_id long, text string"
+    assert simhash.keep_one(spark.createDataFrame([(None, t) for t in near], schema)).count() == 1
+    rows = simhash.keep_one(spark.createDataFrame([(3, near[0]), (3, near[1]), (4, near[2]), (None, near[2])], schema)).collect()
+    assert [r.doc_id for r in rows] == [3]
+
+
 def test_similar_groups_against_all_pairs():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 12, 9).astype(np.uint64)) for _ in range(120)]
