@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -92,5 +91,16 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
-def crc(data):
-    return zlib.crc32(data)
+def targets(sizes, weights=(1.0, 2.0, 3.0), most=3):
+    """Targets by sharing what is above the limit again and again."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = float(sum(sizes.values())), list(order), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        for s in full or open_:
+            out[s] = float(most * sizes[s]) if full else left * weight[s] / total
+        left -= sum(out[s] for s in full)
+        open_ = [s for s in open_ if s not in out]
+    return out

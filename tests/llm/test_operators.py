@@ -58,25 +58,43 @@ def same(found, expected):
 # -- 1 ---------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 50.0, "b": 100.0, None: 150.0}
-    t = mixing.targets({"a": 1000, "b": 10, "c": 10})
-    assert t["b"] == 30.0 and t["c"] == 30.0 and t["a"] == 960.0
-    assert mixing.targets({"z": 0}) == {"z": 0.0} and mixing.targets({}) == {}
-
-
-def test_knapsack_is_exact():
+def test_targets(spark):
+    cases = [{"=a": 100, "=b": 100, "": 100}, {"=a": 1000, "=b": 10, "=c": 10}, {"=z": 0}, {}, {"=\U0001f389": 50, "=\uffff": 7, "=": 9, "=A": 1, "": 4000, "=zz": 0}]
+    rng = np.random.default_rng(0)
+    cases += [{f"=s{i:03d}": int(10 ** rng.uniform(0, 6)) for i in range(40)} for _ in range(3)]
+    for sizes in cases:
+        df = spark.createDataFrame(list(sizes.items()), "_s string, source_size long")
+        got = {r._s: r.target for r in mixing.goals(df).collect()}
+        expect = brute.targets({k[1:] if k else None: v for k, v in sizes.items()})
+        assert set(got) == set(sizes) and all(abs(got[k] - expect[k[1:] if k else None]) < 1e-6 for k in sizes)
+
+
+def test_plan_is_the_nearest_sum():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        lengths = sorted(set(rng.integers(1, 30, 5).tolist()))
-        most = rng.integers(0, 4, len(lengths)).tolist()
-        budget = int(rng.integers(0, 120))
-        sums = {0}
-        for length, n in zip(lengths, most):
+    for _ in range(150):
+        lengths = np.unique(rng.integers(1, 60, rng.integers(1, 7)))
+        counts = rng.integers(1, 5, len(lengths))
+        sums, size = {0}, int((lengths * counts).sum())
+        for length, n in zip(lengths.tolist(), counts.tolist()):
             sums = {s + k * length for s in sums for k in range(n + 1)}
-        take = mixing.fit(lengths, most, budget)
-        assert all(t <= m for t, m in zip(take, most))
-        assert sum(a * b for a, b in zip(lengths, take)) == max(s for s in sums if s <= budget)
+        for budget in (int(rng.integers(0, size + 1)), size - 1, max(0, size - int(rng.integers(0, 40)))):
+            best = max(s for s in sums if s <= budget)
+            take = mixing.plan(lengths, counts, budget)
+            assert (take <= counts).all() and (take >= 0).all() and int((lengths * take).sum()) == best
+            few = mixing.few_sums(lengths.tolist(), counts.tolist(), budget)
+            assert int((lengths * few).sum()) == best
+
+
+def test_plan_near_the_full_size():
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 20000, 900))
+    counts = np.ones(len(lengths), np.int64)
+    reach = 1
+    for length in lengths.tolist():
+        reach |= reach << length & (1 << 6001) - 1
+    for spare in (0, 1, 20, 200, 2000, 4321):
+        least = next(s for s in range(spare, 6001) if reach >> s & 1)  # the least that can be left out
+        assert int(lengths.sum()) - int((lengths * mixing.plan(lengths, counts, int(lengths.sum()) - spare)).sum()) == least
 
 
 def test_plan_meets_budget():
@@ -87,28 +105,28 @@ def test_plan_meets_budget():
     for share in (0.01, 0.3, 0.77, 0.999):
         take = mixing.plan(lengths, counts, int(size * share))
         assert (take <= counts).all() and (take >= 0).all()
-        assert 0 <= int(size * share) - int((lengths * take).sum()) <= 2
+        assert int((lengths * take).sum()) == int(size * share)
 
 
 def test_plan_of_a_few_long_documents():
-    lengths, counts = np.arange(300_001, 300_005), np.ones(4, np.int64)
-    take = mixing.plan(lengths, counts, 620_000)
-    assert take.sum() == 2
+    assert mixing.plan(np.arange(300_001, 300_005), np.ones(4, np.int64), 620_000).tolist() == [0, 0, 1, 1]
     rng = np.random.default_rng(5)
-    for _ in range(200):
+    for _ in range(100):
         lengths = np.unique(rng.integers(150_000, 2_000_000, 6))
         counts = rng.integers(1, 4, len(lengths))
         budget = int((lengths * counts).sum() * rng.random())
         take = mixing.plan(lengths, counts, budget)
-        left = budget - int((lengths * take).sum())
-        assert left >= 0 and (lengths[take < counts] > left).all()  # nothing more fits
+        sums = {0}
+        for length, n in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        assert int((lengths * take).sum()) == max(s for s in sums if s <= budget)
 
 
-def test_plan_goes_on_over_all_lengths():
-    # only the odd length can meet an odd rest, and an even choice of 512 leaves it out
+def test_plan_uses_every_length():
+    # only the odd length can meet an odd rest
     lengths = np.sort(np.append(np.arange(1000, 5000, 2), 1407))
     counts = np.ones(len(lengths), np.int64)
-    for budget in (20_001, 40_001, 120_001, 200_001):
+    for budget in (20_001, 40_001, 120_001, 200_001, 3_000_001):
         assert int((lengths * mixing.plan(lengths, counts, budget)).sum()) == budget
 
 
@@ -116,10 +134,11 @@ def test_plan_takes_the_same_share_of_unique_lengths():
     rng = np.random.default_rng(9)
     lengths = np.unique(rng.lognormal(7, 1, 20_000).astype(np.int64) + 1)
     counts = np.ones(len(lengths), np.int64)
-    for share in (0.3, 0.6):
+    for share in (0.3, 0.6, 0.95):
         take = mixing.plan(lengths, counts, int(share * lengths.sum()))
         tenths = [t.mean() for t in np.array_split(take, 10)]
-        assert max(abs(t - share) for t in tenths) < 0.1, tenths
+        assert max(abs(t - share) for t in tenths) < 0.06, tenths
+        assert abs(take[-50:].mean() - share) < 0.25
 
 
 def check_mix(rows, sizes):
@@ -128,24 +147,43 @@ def check_mix(rows, sizes):
     for r in rows:
         assert r.taken == r.copies * r.size and 0 <= r.copies <= 3 and (r.size or not r.copies)
         by.setdefault(r.source, []).append(r)
-    goal = mixing.targets({s: sum(r.size for r in rs) for s, rs in by.items()})
+    goal = brute.targets({s: sum(r.size for r in rs) for s, rs in by.items()})
     for s, rs in by.items():
-        assert {r.source_size for r in rs} == {sum(r.size for r in rs)}
+        total = sum(r.size for r in rs)
+        assert {r.source_size for r in rs} == {total}
         assert all(abs(r.target - goal[s]) < 1e-6 for r in rs)
-        assert abs(sum(r.taken for r in rs) - goal[s]) <= max(r.size for r in rs)
+        copies = [r.copies for r in rs if r.size]
+        assert not copies or max(copies) - min(copies) <= 1
+        whole = min(3, int(goal[s]) // total) if total else 0
+        reach = 1  # the nearest sum by listing all
+        for r in rs:
+            reach |= reach << r.size
+        budget = int(goal[s]) - whole * total if whole < 3 else 0
+        best = max(i for i in range(budget + 1) if reach >> i & 1) if budget < total else total
+        assert sum(r.taken for r in rs) == whole * total + best
     same([r.size for r in rows], sizes)
 
 
-def test_mix(docs, odd, empty, texts):
+def test_mix(spark, docs, odd, empty, texts):
     rows = mixing.mix(docs).collect()
     check_mix(rows, [len(brute.words(t)) for t in texts.values()])
-    again = mixing.mix(docs.repartition(5)).collect()
+    again = mixing.mix(docs.repartition(5), keep_text=False).collect()
     same([(r.doc_id, r.taken) for r in rows], [(r.doc_id, r.taken) for r in again])
+    same([(r.doc_id, r.taken) for r in rows], [(r.doc_id, r.taken) for r in queries.op1_mixing(spark, SF).collect()])
     check_mix(mixing.mix(odd).collect(), [len(brute.words(r[1])) for r in odd_rows()])
     out = mixing.mix(empty)
     assert out.collect() == [] and {"n_chars", "text", "taken"} <= set(out.columns)
 
 
+def test_mix_splits_repeated_rows(spark):
+    rows = [(1, "one row again and again", "a")] * 500 + [(i, f"words that say {i} not much", "a") for i in range(2, 300)] + [(5, "b " * 40, "b")] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df.repartition(6)).collect()
+    check_mix(got, [len(brute.words(r[1])) for r in rows])
+    again = mixing.mix(df.coalesce(2)).collect()
+    same([(r.doc_id, r.taken) for r in got], [(r.doc_id, r.taken) for r in again])
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------
 
 
