@@ -223,23 +223,59 @@ def test_simhash(docs, odd, empty, texts):
     assert simhash.near_duplicates(empty).collect() == []
 
 
+def near_fingerprints(seed, groups, most=6, of=12):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, groups, dtype=np.uint64)
+    near = [b ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, rng.integers(0, most + 1), replace=False))) for b in base for _ in range(of)]
+    return np.unique(np.array(near, np.uint64))
+
+
 def test_bk_tree_loses_no_link():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    near = [b ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 7), replace=False))) for b in base for _ in range(12)]
-    fps = np.unique(np.array(near, np.uint64))
-    label = simhash.connected(fps)
-    expect = brute.linked([(i, int(f)) for i, f in enumerate(fps)])
-    assert label.tolist() == expect
+    fps = near_fingerprints(3, 60)
+    assert simhash.BkTree(fps).nodes > 20
+    assert simhash.connected(fps).tolist() == brute.linked([(i, int(f)) for i, f in enumerate(fps)])
+
+
+def test_bk_tree_is_built_and_prunes(texts):
+    fps = np.unique(np.array([simhash.fingerprint(t) for t in texts.values()], np.uint64))
+    tree = simhash.BkTree(fps)
+    assert tree.nodes > 5
+    met = [(q[0], m) for i in range(len(fps)) for q, m in tree.meet(np.array([i]), 4)]
+    assert {(i, i) for i in range(len(fps))} <= {(q, int(x)) for q, m in met for x in m}
+    assert sum(len(m) for _, m in met) < 0.9 * len(fps) ** 2  # edges beyond the radius aren't followed
+
+
+def test_trees_have_thousands_of_members(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(int(x),) for x in np.unique(rng.integers(-(1 << 62), 1 << 62, 20_000))], "fp long")
+    sizes = [r["count"] for r in simhash.dealt(df).groupBy("m", "key").count().collect()]
+    assert np.mean(sizes) > 1000 and max(sizes) <= simhash.MOST
+
+
+@pytest.mark.parametrize("members, most", [(2048, 16_384), (16, 128)])
+def test_shards_lose_no_link(spark, members, most):
+    fps = near_fingerprints(4, 120)
+    # half of them agree on their lower bits, so that their shards are dealt again
+    fps = np.unique(np.concatenate([fps, (fps & ~np.uint64(0xFFFFF)) | np.uint64(0x6789A)]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    if most < 1000:
+        assert max(r["count"] for r in simhash.dealt(df, 4, members, most).groupBy("m", "key").count().collect()) <= most
+    roots = {r.a: r.root for r in simhash.components(simhash.links(df, 4, members, most)).collect()}
+    signed = fps.view(np.int64)
+    expect = brute.linked([(int(s), int(f)) for s, f in zip(signed, fps)])
+    assert [roots.get(int(s), int(s)) for s in signed] == expect
 
 
 def test_shard_masks_cover_all_pairs():
-    ms = simhash.masks(6, 4)
-    assert len(ms) == 15
     rng = np.random.default_rng(4)
-    for _ in range(500):
-        diff = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
-        assert any(diff & m == 0 for m in ms)
+    for bits, count in ((0, 1), (1, 5), (12, 5), (13, 15), (20, 15), (21, 35), (27, 35)):
+        ms = simhash.masks(4, bits)
+        assert len(ms) == count and all(m.bit_count() == bits for m in ms)
+        for _ in range(300):
+            diff = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
+            assert any(diff & m == 0 for m in ms)
+    free = 0xFFFF0000FFFF0000
+    assert all(m & ~free == 0 for m in simhash.masks(4, 6, free))
 
 
 def test_components_of_chains(spark):
@@ -248,6 +284,35 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 300: 0, 101: 100, 102: 100, 200: 100}
 
 
+def test_components_of_a_star(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(399, 5000), (5000, 6000)]
+    got = {r.a: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 400), 5000, 6000]}
+
+
+def test_lots_and_shards_beyond_their_size(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words)]
+    for _ in range(60):  # near copies of near copies, so that not all are like the first
+        w = texts[rng.integers(0, len(texts))].split()
+        w[rng.integers(0, len(w))] = f"x{rng.integers(0, 1000)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.choice([f"v{i}" for i in range(3000)], 50)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [simhash.shingle_set(t) for t in texts]
+    first = simhash.similar_groups(sets)
+    for lot, most in ((1024, 16_384), (7, 16_384), (7, 5)):
+        got = {}
+        for r in simhash.near_groups(df, lot=lot, most=most).collect():
+            got.setdefault(r.root, set()).add(r.doc_id)
+        expect = {}
+        for i, f in enumerate(first):
+            expect.setdefault(int(f), set()).add(i)
+        same(got.values(), expect.values())
+    assert len(expect) < 100
+
+
 def test_keep_one(spark, odd):
     out = simhash.keep_one(odd)
     assert out.columns == odd.columns
