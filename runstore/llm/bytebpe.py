@@ -3,16 +3,18 @@
 The merge table is compiled into a nondeterministic transducer: a configuration is a node of the byte
 trie of all tokens together with the token that ended where this partial token began.  Reading a byte
 moves every live configuration one trie edge on; one that reaches a token which is *compatible* with its
-predecessor (the two tokens' bytes, merged by rank, give back just these two) emits it.  Of all
-prefixes of a chunk exactly one last token is valid, so the set of live configurations, which is what a
-subset construction would call a state, determines everything that can follow.  States are built when
-first met, from then on a byte costs one dictionary look-up.  A token is final as soon as all live
-configurations agree on it, that is after a look-ahead of at most the longest token.
+predecessor (the two tokens' bytes, merged by rank, give back just these two) ends it there.  Of all
+prefixes of a match exactly one last token is valid, so each configuration has one row of tokens behind it.
+A state of the determinised transducer is the set of live configurations with those of their tokens that haven't been
+handed out: what all of them agree on is emitted on the move that makes them agree, at most the longest token's
+bytes after the token's end, whatever the match's length.  States are built when first met, from then on a byte costs one
+dictionary look-up.
 
 Decoding streams token bytes through a byte-wise UTF-8 machine that hands out only complete characters.
 
-Defined cases: null text counts as empty, an empty text has no ids (hash of no bytes), repeated rows are
-encoded each; extra columns pass through, a column named like an output is replaced.
+Defined cases: null text counts as empty, an empty text has no ids (hash of no bytes; so has an empty table no rows), repeated rows are
+encoded each; a very long text is split match by match, a very long match is streamed; equal ranks don't occur, of two equal pairs the left one merges
+first; extra columns pass through, a column named like an output (n_tokens, ids_sha256, decoded_sha256, ids, decoded, in any case) is replaced.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from runstore.llm.common import Memo, Splitter, map_texts
 #: Determinised states kept by one encoder; beyond that the table starts afresh (results stay the same).
 MAX_STATES = 200_000
 MAX_WORDS = 800_000
-#: Bytes of a chunk after which settled tokens are handed out.
-SETTLE_EVERY = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes one chunk (a match of the split pattern) at a time."""
+    """Encodes one match of the split pattern at a time."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
@@ -60,21 +60,18 @@ class Transducer:
                     self.child[node][byte] = nxt
                 node = nxt
             self.token_at[node] = rank
-        self.depth = [0] * len(self.child)
-        for node, edges in enumerate(self.child):  # children have higher numbers
-            for nxt in edges.values():
-                self.depth[nxt] = self.depth[node] + 1
-        self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: (state, byte) as state << 8 | byte -> (next state, tokens emitted)
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: A state is a tuple of configurations: trie node << 32 | (token before it) + 1, 0 at the start.
-        self.states: list[tuple[int, ...]] = [(0,)]
-        self.number = {(0,): 0}
-        #: state << 8 | byte -> (next state, last token of what has been read)
-        self.moves: dict[int, tuple[int, int]] = {}
+        #: A state is a tuple of configurations (trie node, token before it or -1, its tokens not yet emitted).
+        start = ((0, -1, ()),)
+        self.states: list[tuple] = [start]
+        self.number = {start: 0}
+        self.moves.clear()
 
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Plain merging by rank until ``stop`` parts are left; used on the bytes of single tokens."""
@@ -139,72 +136,49 @@ class Transducer:
             else:
                 before, b = (b, True), self.split(b)[0]
 
-    def move(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the last token of what has been read; built when first asked for."""
-        last, live = -1, []
-        for at in self.states[state]:
-            nxt = self.child[at >> 32].get(byte)
+    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state and the tokens that are certain from here on; built when first asked for."""
+        live, ended = [], None
+        for node, before, held in self.states[state]:
+            nxt = self.child[node].get(byte)
             if nxt is None:
                 continue
-            before = (at & 0xFFFFFFFF) - 1
             token = self.token_at[nxt]
-            if last < 0 and token >= 0 and self.compatible(before, token):
-                last = token
+            if ended is None and token >= 0 and self.compatible(before, token):
+                ended = (0, token, (*held, token))
             if self.child[nxt]:
-                live.append(nxt << 32 | before + 1)
-        if last < 0:
+                live.append((nxt, before, held))
+        if ended is None:
             raise ValueError(f"no token ends with byte {byte}: the ranks lack single bytes")
-        live.append(last + 1)
-        key = tuple(live)
+        live.append(ended)
+        # what all configurations have in front is certain
+        same = 0
+        for tokens in zip(*[held for _, _, held in live], strict=False):
+            if any(t != tokens[0] for t in tokens):
+                break
+            same += 1
+        out = ended[2][:same]
+        key = tuple((node, before, held[same:]) for node, before, held in live)
         at = self.number.get(key)
         if at is None:
+            if len(self.states) >= self.max_states:
+                self._reset()
+                state = -1  # its number is gone
             at = self.number[key] = len(self.states)
             self.states.append(key)
-        self.moves[state << 8 | byte] = found = (at, last)
+        found = (at, out)
+        if state >= 0:
+            self.moves[state << 8 | byte] = found
         return found
 
-    def back(self, lasts: list[int], end: int) -> list[int]:
-        """The tokens of the first ``end`` bytes, from the last token of each prefix."""
-        ids, size = [], self.size
-        while end > 0:
-            last = lasts[end - 1]
-            ids.append(last)
-            end -= size[last]
-        ids.reverse()
-        return ids
-
-    def chunk(self, data: bytes) -> list[int]:
-        """Ids of a chunk short enough to be held."""
-        if len(self.states) > self.max_states:
-            self._reset()
-        state, lasts, get = 0, [], self.moves.get
-        for byte in data:
-            state, last = get(state << 8 | byte) or self.move(state, byte)
-            lasts.append(last)
-        return self.back(lasts, len(lasts))
-
     def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Ids of one chunk, handed out as soon as no later byte can change them."""
-        if len(self.states) > self.max_states:
-            self._reset()
-        state, lasts, get = 0, [], self.moves.get  # lasts: the last token of each unsettled prefix
+        """Ids of one match, each handed out as soon as no later byte can change it."""
+        state, get = 0, self.moves.get
         for byte in data:
-            state, last = get(state << 8 | byte) or self.move(state, byte)
-            lasts.append(last)
-            if len(lasts) >= SETTLE_EVERY:
-                used = self._settled(self.states[state], lasts)
-                yield from self.back(lasts, used)
-                del lasts[:used]
-        yield from self.back(lasts, len(lasts))
-
-    def _settled(self, state: tuple[int, ...], lasts: list[int]) -> int:
-        """Bytes up to which all live configurations have the same tokens."""
-        cuts = {len(lasts) - self.depth[at >> 32] for at in state}
-        while len(cuts) > 1:  # walk the latest end back until all meet
-            late = max(cuts)
-            cuts.remove(late)
-            cuts.add(late - self.size[lasts[late - 1]] if late > 0 else 0)
-        return max(0, cuts.pop())
+            state, out = get(state << 8 | byte) or self.move(state, byte)
+            if out:
+                yield from out
+        yield from self.states[state][-1][2]  # the configuration that ends here is the last one
 
     def encode(self, data: bytes) -> list[int]:
         return list(self.stream(data))
@@ -269,12 +243,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.split = Splitter(pattern)
-        #: Of each distinct chunk, its ids as little-endian unsigned 32-bit integers.
-        self.words = Memo(self._word, MAX_WORDS)
-
-    def _word(self, word: str) -> bytes:
-        data = word.encode("utf-8")
-        return array("I", self.machine.chunk(data) if len(data) <= SETTLE_EVERY else self.machine.stream(data)).tobytes()
+        #: Of each distinct match, its ids as little-endian unsigned 32-bit integers.
+        self.words = Memo(lambda word: array("I", self.machine.stream(word.encode("utf-8"))).tobytes(), MAX_WORDS)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype="<u4")

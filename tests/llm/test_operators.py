@@ -496,14 +496,36 @@ def test_byte_bpe(docs, odd, empty, texts, tiktok):
 
 def test_transducer_on_random_bytes(tiktok):
     ranks = bytebpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    machine = bytebpe.Transducer(ranks, max_states=2000)
     rng = np.random.default_rng(6)
-    for n in (1, 2, 3, 10, 100, 9000):
-        for alphabet in (2, 4, 26):
-            data = bytes(rng.integers(97, 97 + alphabet, n).astype(np.uint8))
-            assert machine.encode(data) == tiktok._encode_single_piece(data)
-            if n <= 100:
-                assert machine.chunk(data) == tiktok._encode_single_piece(data)
+    for most in (50, 2000, 200_000):  # few states: the table starts afresh in the middle of a match
+        machine = bytebpe.Transducer(ranks, max_states=most)
+        for n in (1, 2, 3, 10, 100, 9000):
+            for alphabet in (2, 4, 26):
+                data = bytes(rng.integers(97, 97 + alphabet, n).astype(np.uint8))
+                assert machine.encode(data) == tiktok._encode_single_piece(data)
+                assert len(machine.states) <= most
+
+
+def test_ids_leave_after_a_bounded_look_ahead(tiktok):
+    ranks = bytebpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    machine, longest = bytebpe.Transducer(ranks), max(map(len, ranks))
+    rng = np.random.default_rng(10)
+    for data in (b"internationalisation", b"antidisestablishmentarianism", bytes(rng.integers(97, 123, 3000).astype(np.uint8))):
+        fed = 0
+
+        def probe():
+            nonlocal fed
+            for byte in data:
+                fed += 1
+                yield byte
+
+        ids, ends, early = [], 0, 0
+        for token in machine.stream(probe()):
+            ids.append(token)
+            ends += len(machine.bytes_of[token])
+            early += fed < len(data)
+            assert fed <= ends + longest  # no later than the longest token after its end
+        assert ids == tiktok._encode_single_piece(data) and early > 0
 
 
 def test_utf8_machine():
