@@ -56,7 +56,7 @@ def op9_sharding(spark, sf_dir):
 
 
 def op10_media(spark, sf_dir):
-    return media.media_columns(_documents(spark, sf_dir, "doc_id", "text"), arrays=False)
+    return media.media_columns(_documents(spark, sf_dir, "doc_id", "text"), keep_media=False)
 
 
 def queries():

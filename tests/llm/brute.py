@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,3 +105,23 @@ def targets(sizes, weights=(1.0, 2.0, 3.0), most=3):
         left -= sum(out[s] for s in full)
         open_ = [s for s in open_ if s not in out]
     return out
+
+
+def peak_pairs(payload):
+    """(times, codes) of the spectral-peak pairs, frame by frame and peak by peak."""
+    x = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
+    n = 1 + max(0, -(-(len(x) - 256) // 128))
+    x = np.concatenate([x, np.zeros((n - 1) * 128 + 256 - len(x), np.float32)])
+    window = np.hanning(257)[:256].astype(np.float32)
+    rows = []
+    for i in range(n):
+        frame = x[i * 128 : i * 128 + 256]
+        rows.append(np.abs(np.fft.rfft((frame - frame.mean()) * window)).astype(np.float32))
+    at = lambda i, k: rows[i][k] if 0 <= i < n and 0 <= k < 129 else np.float32(-1)
+    found = []
+    for i, row in enumerate(rows):
+        floor = 2 * row.mean() + 1e-3
+        own = [k for k in range(1, 129) if row[k] > floor and row[k] > at(i, k - 1) and row[k] >= at(i, k + 1) and row[k] >= np.float32(0.99) * at(i - 1, k) and row[k] >= np.float32(0.99) * at(i + 1, k)]
+        found += [(i, k) for k in sorted(sorted(own, key=lambda k: (-row[k], k))[:3])]
+    pairs = [(t, (b << 16) | (c << 8) | (u - t)) for p, (t, b) in enumerate(found) for u, c in found[p + 1 : p + 4] if u - t <= 32]
+    return [t for t, _ in pairs], [c for _, c in pairs]

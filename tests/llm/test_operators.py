@@ -636,35 +636,53 @@ def check_media(rows, docs):
     same([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows], expect)
 
 
-def test_media(docs, odd, empty, texts):
+def test_media(spark, docs, odd, empty, texts):
     rows = media.media_columns(docs).collect()
     check_media(rows, list(texts.items()))
-    for r in rows[:50]:
-        assert media.from_wav(bytes(r.media)) == media.padded(texts[r.doc_id].encode()) and len(r.media) == r.media_bytes
-        assert hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.fp_time) == len(r.fp_code)
+    for r in rows[:60]:
+        payload = media.padded(texts[r.doc_id].encode())
+        assert media.from_wav(bytes(r.media)) == payload and len(r.media) == r.media_bytes
+        assert hashlib.sha256(r.media).hexdigest() == r.media_sha256
+        assert brute.peak_pairs(payload) == (r.fp_time, r.fp_code)
     by = {}
     for r in media.media_columns(odd).collect():
-        by.setdefault(r.payload_sha256, set()).add((r.feature, r.media_sha256))
+        by.setdefault(r.payload_sha256, set()).add((r.feature, r.media_sha256, tuple(r.fp_time), tuple(r.fp_code)))
     assert all(len(v) == 1 for v in by.values())
     check_media(media.media_columns(odd).collect(), [r[:2] for r in odd_rows()])
-    assert media.media_columns(empty).collect() == []
+    out = media.media_columns(empty)
+    assert out.collect() == [] and {"lang", "n_chars", "media", "fp_code"} <= set(out.columns)
+    query = queries.op10_media(spark, SF).collect()
+    same([(r.doc_id, r.feature, r.fp_time, r.fp_code) for r in query], [(r.doc_id, r.feature, r.fp_time, r.fp_code) for r in rows])
+    for r in query:
+        data = np.array(r.fp_time, "<i4").tobytes() + np.array(r.fp_code, "<i4").tobytes()
+        assert r.feature == f"{len(r.fp_code)}:{hashlib.sha256(data).hexdigest()[:32]}"
+
+
+def test_spectrum_is_the_transform():
+    rng = np.random.default_rng(13)
+    frames = rng.integers(0, 256, (4, 256)).astype(np.uint8)
+    k, n = np.meshgrid(np.arange(129), np.arange(256), indexing="ij")
+    x = frames.astype(float) - frames.mean(axis=1, keepdims=True)
+    direct = np.abs((x * np.hanning(257)[:256]) @ np.exp(-2j * np.pi * k * n / 256).T)
+    assert np.allclose(media.spectrum(frames), direct, rtol=1e-3, atol=1e-2)
 
 
 def test_fingerprints_of_a_tone():
     t = np.arange(8000 * 4)
     tone = (128 + 60 * np.sin(2 * np.pi * 1000 * t / 8000) + 30 * np.sin(2 * np.pi * 500 * t / 8000)).astype(np.uint8)
-    when, bins = media.peaks(tone)
+    _, when, bins = media.peaks([tone])
     assert len(when) and (bins == 32).sum() + (bins == 16).sum() > 0.3 * len(bins)
-    assert len(media.fingerprints(np.full(640, 128, np.uint8))[0]) == 0
+    assert len(media.fingerprints([np.full(640, 128, np.uint8)])[0][0]) == 0
 
 
 def test_peaks_do_not_depend_on_blocks(monkeypatch):
     rng = np.random.default_rng(8)
-    samples = rng.integers(0, 256, 128 * 700).astype(np.uint8)
-    whole = media.fingerprints(samples)
+    signals = [rng.integers(0, 256, 64 * n).astype(np.uint8) for n in (1, 3, 1400, 2, 70, 1)]
+    whole = media.fingerprints(signals)
     monkeypatch.setattr(media, "BLOCK", 37)
-    parts = media.fingerprints(samples)
-    assert all((a == b).all() for a, b in zip(whole, parts))
+    for (a, b), (c, d), own in zip(whole, media.fingerprints(signals), signals):
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+        assert (a.tolist(), b.tolist()) == brute.peak_pairs(own.tobytes())
 
 
 def test_splitter_is_the_pattern():
