@@ -10,9 +10,11 @@ ids); for each level u64 length, then chunks, bitmap padded to 8 bytes, and u64
 a Parquet table in the cluster's shared folder (part, first position in the part, ids, document ids, file), so
 that writing and reading go through Spark's own storage layer and survive lost executors.
 
-Rows are dealt by ranges of doc_id, sorted, and encoded where they arrive; only the count of ids in each
-part, one number for each partition, goes to the driver.  Defined cases: null text counts as empty (just
-the end id); null doc_ids come first; rows with one doc_id are ordered by text; an empty table gives no files.
+Whole texts go to the tokenizers library.  Rows are dealt by ranges of doc_id and text hash, sorted, and encoded where they
+arrive; only the count of ids in each part, one number for each partition, goes to the driver.  Defined cases: null text
+counts as empty (just the end id); null doc_ids come first; rows with one doc_id are ordered by text hash and text, so that many rows of one id
+are split too; repeated rows are written each; doc_ids may be of any type that Spark can sort; a very long text is encoded whole and makes a file
+of its own at most; an empty table gives no files.  Files hold ids and doc_ids only: other columns, of whatever name, are left out.
 """
 
 from __future__ import annotations
@@ -20,24 +22,22 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from runstore.llm.common import Memo, Splitter, new_path, with_batches
-from runstore.llm.tokencount import printable_bytes
+from runstore.llm.common import new_path, quoted, with_batches
 
 END_ID = 0
 FILE_IDS = 1 << 19
 BITS = 8
 RANK_BLOCK = 512
-MAX_WORDS = 1_000_000
 
 
 def encode_ids(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -123,83 +123,53 @@ class DacFile:
             lo = hi
 
 
-class LibraryEncoder:
-    """Ids of whole texts as the tokenizers library gives them.
+_libraries: dict[str, object] = {}
 
-    A byte-level BPE file merges within matches of its split pattern only, so each distinct match is
-    given to the library's model once and its ids are kept; special tokens are cut out first, as the
-    library does.  For any other kind of file the whole text goes to the library.
-    """
 
-    def __init__(self, path: str):
-        import json
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def library(path: str):
+    """The library's tokenizer of a file, loaded once in each worker process."""
+    if path not in _libraries:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec["pre_tokenizer"] or {}
-        plain = not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
-        self.by_word = spec["normalizer"] is None and spec["post_processor"] is None and not spec["truncation"] and not spec["padding"] and plain and pre == pre | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.split = Splitter()
-        self.model = self.library.model
-        self.shown = {b: c for c, b in printable_bytes().items()}
-        #: Of each distinct match, its ids as little-endian unsigned 32-bit integers.
-        self.words = Memo(self._word, MAX_WORDS)
-
-    def _word(self, word: str) -> bytes:
-        shown = word.encode("utf-8").decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            if any(map(text.__contains__, self.added)):
-                ids = b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self._plain(p) for p in self.special.split(text))
-            else:
-                ids = self._plain(text)
-            out.append(np.frombuffer(ids, "<u4"))
-        return out
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        _libraries[path] = own
+    return _libraries[path]
 
 
-_encoders: dict[str, LibraryEncoder] = {}
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, "<u4") for e in library(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def library_encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+def _files(id_type: T.DataType) -> T.StructType:
+    long = T.LongType()
+    return T.StructType([T.StructField("part", T.IntegerType()), T.StructField("begin", long), T.StructField("n_ids", long), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("file", T.BinaryType())])
 
 
 def write_dac(docs: DataFrame, tokenizer: str, out: str, doc_id: str = "doc_id", text: str = "text", parts: int | None = None, file_ids: int = FILE_IDS) -> None:
     """Writes the ids of all texts, an end id after each, in ascending order of doc_id."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
+    schema = _files(rows.schema["doc_id"].dataType)
+    names_type = to_arrow_type(schema["doc_ids"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = library_encoder(tokenizer), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         held, names, n, begin = [], [], 0, 0
 
         def file() -> pa.RecordBatch:
             ids = np.concatenate(held)
             data = encode_ids(ids, np.cumsum([len(x) for x in held]))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([begin]), pa.array([len(ids)]), pa.array([names], pa.list_(pa.int64())), pa.array([data])], names=["part", "begin", "n_ids", "doc_ids", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([begin]), pa.array([len(ids)]), pa.array([names], names_type), pa.array([data])], names=schema.names)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 piece = batch.slice(lo, 64)
-                for name, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+                for name, ids in zip(piece.column(0).to_pylist(), encode_texts(tokenizer, piece.column(1).to_pylist()), strict=True):
                     held.append(np.append(ids, np.uint32(END_ID)))
                     names.append(name)
                     n += len(ids) + 1
@@ -211,19 +181,22 @@ def write_dac(docs: DataFrame, tokenizer: str, out: str, doc_id: str = "doc_id",
             yield file()
 
     with_batches(spark)
-    rows.mapInArrow(run, "part int, begin long, n_ids long, doc_ids array<long>, file binary").write.parquet(out)
+    rows.mapInArrow(run, schema).write.parquet(out)
 
 
-def read_dac(spark, path: str, keep_ids: bool = False) -> DataFrame:
+def read_dac(spark, path: str, id_type: T.DataType | None = None, keep_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, if kept, the ids."""
-    files = spark.read.schema("part int, begin long, n_ids long, doc_ids array<long>, file binary").parquet(path)
+    id_type = id_type or T.LongType()
+    files = spark.read.schema(_files(id_type)).parquet(path)
     #: One row for each partition that wrote: as many as write_dac was told to make.
     sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     base, total = {}, 0
     for part, n in sums:
         base[part] = total
         total += n
-    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * keep_ids
+    fields = [T.StructField("doc_id", id_type), *[T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32")]]
+    fields += [T.StructField("ids", T.ArrayType(T.LongType()))] * keep_ids
+    kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,14 +211,14 @@ def read_dac(spark, path: str, keep_ids: bool = False) -> DataFrame:
                     if keep_ids:
                         out[4].append(ids)
                     at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=[f.name for f in fields])
 
     with_batches(spark)
-    return files.select("part", "begin", "doc_ids", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+    return files.select("part", "begin", "doc_ids", "file").mapInArrow(run, T.StructType(fields))
 
 
 def token_files(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Writes the files to the shared folder and gives what reading them back gives."""
     path = new_path(docs.sparkSession, "dac")
     write_dac(docs, tokenizer, path, doc_id, text)
-    return read_dac(docs.sparkSession, path, keep_ids)
+    return read_dac(docs.sparkSession, path, docs.schema[doc_id].dataType, keep_ids)
