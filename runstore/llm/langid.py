@@ -6,12 +6,15 @@ of the centroids, cut at the mean similarity).  A prediction first picks the fam
 machine for each, largest margin), then lets one-versus-one linear support vector machines between
 the languages of that family vote.  The machines are trained here by dual coordinate descent.
 
-Training takes at most ``per_language`` labelled rows of each language, those of smallest id hash (a bounded
-sample, as documented); only their feature vectors reach the driver, never texts.  Prediction goes over
-all texts, in Arrow batches, with the model in a broadcast of (families + pairs) x ``DIMS`` floats.
+Training takes at most ``per_language`` labelled rows of each language and ``SAMPLE_ROWS`` of all, those of smallest id hash (a
+bounded sample, as documented); only their feature vectors reach the driver (at most 128 MB), never texts.  A family holds
+at most ``MOST_IN_FAMILY`` languages, so that the model, which is broadcast, has at most eight pairs for each language.  Prediction goes over
+all texts, in Arrow batches; a long text is read in pieces, which give the very counts of the whole.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without any labelled row all
-is ``und``; with one language that one wins with score 1; null doc_id is neither trained on nor held out.
+is ``und``; with one language that one wins with score 1; null doc_id is neither trained on nor held out; repeated rows are predicted each, and of
+those in the sample each counts; equal votes are settled by the margins, then by name; an empty table gives an empty result; extra columns pass
+through, a column named like an output (lang_pred, score, in any case) is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import types as T
 from runstore.llm.common import map_texts
 
 DIMS = 4096
-PER_LANGUAGE = 250
+PER_LANGUAGE, SAMPLE_ROWS = 250, 8192
+MOST_IN_FAMILY = 16
 CHUNK = 1 << 18
 _letters: list[np.ndarray] = []
 
@@ -40,18 +44,18 @@ def features(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     counts, table, any_letter = np.zeros(DIMS, np.int64), letter_table(), False
+    text = f" {text.lower()} "
     for lo in range(0, len(text), CHUNK):
-        # two characters more, so that the n-grams across the border count
-        cp = np.frombuffer(text[lo : lo + CHUNK + 2].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        # two characters more for the n-grams that begin in this piece; beyond the end there are none
+        cp = np.frombuffer(text[lo : lo + CHUNK + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = table[cp]
         any_letter = any_letter or bool(is_letter.any())
         c = np.where(is_letter, cp, 32).astype(np.uint32)
-        c = np.concatenate([[np.uint32(32)], c, [np.uint32(32)]]) if lo + CHUNK >= len(text) else np.concatenate([[np.uint32(32)], c])
         one = c * np.uint32(2654435761)
         two = (one[:-1] ^ (c[1:] * np.uint32(2246822519))) * np.uint32(3266489917)
         three = (two[:-1] ^ (c[2:] * np.uint32(668265263))) * np.uint32(374761393)
         for grams, real in ((one, c != 32), (two, (c[:-1] != 32) | (c[1:] != 32)), (three, c[1:-1] != 32)):
-            counts += np.bincount(grams[real] >> np.uint32(20), minlength=DIMS)
+            counts += np.bincount(grams[:CHUNK][real[:CHUNK]] >> np.uint32(20), minlength=DIMS)
     if not any_letter:
         return None
     x = np.sqrt(counts.astype(np.float32))
@@ -89,7 +93,8 @@ def families(centroids: np.ndarray) -> list[list[int]]:
         return groups
     cut = sim[np.triu_indices(n, 1)].mean()
     while len(groups) > 2:
-        best, a, b = max((sim[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+        near = [(sim[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j and len(p) + len(q) <= MOST_IN_FAMILY]
+        best, a, b = max(near, default=(cut - 1, 0, 0))
         if best < cut:
             break
         groups[a] += groups.pop(b)
@@ -101,7 +106,7 @@ class Model:
         self.names = sorted(set(names))
         y = np.array([self.names.index(n) for n in names], np.int64)
         centroids = np.stack([x[y == k].mean(axis=0) for k in range(len(self.names))]) if self.names else np.zeros((0, DIMS))
-        self.families = families(centroids)
+        self.families = [sorted(g) for g in families(centroids)]
         of = np.array([next(f for f, g in enumerate(self.families) if k in g) for k in range(len(self.names))])
         fam = of[y] if len(y) else y
         many = len(self.families) > 1
@@ -138,11 +143,12 @@ class Model:
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model of at most ``per_language`` rows of each language."""
+    """A model of at most ``per_language`` rows of each language and SAMPLE_ROWS in all."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}  # one for each class
     if not sizes:
         return Model(np.zeros((0, DIMS), np.float32), [])
+    per_language = max(1, min(per_language, SAMPLE_ROWS // len(sizes)))
     # thin out by id hash first, so that ranking sees a few hundred rows of a language and not all
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, (2 * per_language + 50) / n)))])
     h = F.xxhash64(F.col(key), F.lit("language sample"))

@@ -92,6 +92,12 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
+def spark_hash(text):
+    """xxhash64 as Spark's function of that name gives it."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def targets(sizes, weights=(1.0, 2.0, 3.0), most=3):
     """Targets by sharing what is above the limit again and again."""
     order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
@@ -125,3 +131,23 @@ def peak_pairs(payload):
         found += [(i, k) for k in sorted(sorted(own, key=lambda k: (-row[k], k))[:3])]
     pairs = [(t, (b << 16) | (c << 8) | (u - t)) for p, (t, b) in enumerate(found) for u, c in found[p + 1 : p + 4] if u - t <= 32]
     return [t for t, _ in pairs], [c for _, c in pairs]
+
+
+def letter_grams(text):
+    """The unit vector of hashed letter n-grams, gram by gram."""
+    c = [ord(x) if x.isalpha() else 32 for x in f" {text.lower()} "]
+    low, counts = (1 << 32) - 1, Counter()
+    for i, x in enumerate(c):
+        one = x * 2654435761 & low
+        if x != 32:
+            counts[one >> 20] += 1
+        if i + 1 < len(c):
+            two = (one ^ (c[i + 1] * 2246822519 & low)) * 3266489917 & low
+            if x != 32 or c[i + 1] != 32:
+                counts[two >> 20] += 1
+            if i + 2 < len(c) and c[i + 1] != 32:
+                counts[((two ^ (c[i + 2] * 668265263 & low)) * 374761393 & low) >> 20] += 1
+    v = np.zeros(4096)
+    for k, n in counts.items():
+        v[k] = n**0.5
+    return v / np.linalg.norm(v)

@@ -203,10 +203,37 @@ def test_language(spark, odd, empty):
     assert {(r.lang_pred, r.score) for r in langid.predict(odd, langid.train(empty)).collect()} == {("und", 0.0)}
 
 
-def test_language_features_cover_whole_text():
-    long = "ein text " * 100000
-    a, b = langid.features(long), langid.features(long[: len(long) // 2] + "日本" * 200000)
-    assert np.abs(a - b).max() > 0.01 and langid.features("12 !") is None
+def test_language_features(monkeypatch):
+    rng = np.random.default_rng(15)
+    cases = ["a", "Ein Text, noch einer", "x1y 日本 ÀÉ ", "12 a!", "".join(rng.choice(list("ab ç.日Ω"), 999))]
+    whole = [langid.features(t) for t in cases]
+    for t, v in zip(cases, whole):
+        assert np.allclose(v, brute.letter_grams(t), atol=1e-6)
+    for chunk in (1, 2, 3, 7, 64):  # pieces change nothing
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert all((langid.features(t) == v).all() for t, v in zip(cases, whole))
+    assert langid.features("12 !") is None and langid.features(None) is None
+
+
+def test_language_of_a_long_text(spark):
+    model = langid.train(spark.createDataFrame([(1, "the words are here " * 9, "en"), (2, "die Wörter sind hier " * 9, "de")], "doc_id long, text string, lang string"))
+    long = spark.createDataFrame([(1, "the words " * 100_000), (2, "sind Wörter " * 100_000)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(long, model).orderBy("doc_id").collect()] == ["en", "de"]
+
+
+def test_language_decides_by_family_and_votes():
+    rng = np.random.default_rng(16)
+    centres = rng.random((5, langid.DIMS)).astype(np.float32)
+    centres[1:3] += 2 * centres[0]  # three of one family
+    x = np.concatenate([c + rng.random((30, langid.DIMS)).astype(np.float32) / 2 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.Model(x, [n for n in "abcde" for _ in range(30)])
+    assert sorted(map(len, model.families))[-1] >= 2
+    for v, name in zip(x, np.repeat(list("abcde"), 30)):
+        group = model.families[int(np.argmax([w @ v for w in model.top]))]
+        votes = {k: sum((model.pairs[min(k, o), max(k, o)] @ v >= 0) == (k < o) for o in group if o != k) for k in group}
+        got, score = model.predict(v)
+        assert votes[model.names.index(got)] == max(votes.values()) and 0 <= score <= 1 and got == name
 
 
 # -- 3 ---------------------------------------------------------------------------------------------------
@@ -375,18 +402,23 @@ def check_files(rows, docs):
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     at, expect = 0, []
-    for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, brute.spark_hash(r[1] or ""))):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         expect.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     same([tuple(r) for r in rows], expect)
 
 
-def test_token_files(docs, odd, empty, texts):
+def test_token_files(spark, docs, odd, empty, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    check_files(dac.token_files(docs, path).collect(), list(texts.items()))
+    check_files(queries.op4_token_files(spark, SF).collect(), list(texts.items()))
     check_files(dac.token_files(odd, path).collect(), [r[:2] for r in odd_rows()])
     assert dac.token_files(empty, path).collect() == []
+    names = dac.token_files(odd.select(F.concat(F.lit("n"), "doc_id").alias("name"), "text"), path, "name", keep_ids=True).collect()
+    assert {r.doc_id for r in names} == {None if r[0] is None else f"n{r[0]}" for r in odd_rows()} and all(len(r.ids) == r.n_tokens for r in names)
+    # many rows of one id, or of none, aren't one task's work
+    hot = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(400)], "doc_id long, text string")
+    check_files(dac.token_files(hot, path).collect(), [(None if i % 2 else 7, f"text {i}") for i in range(400)])
 
 
 @pytest.mark.parametrize("top", [1, 200, 256, 70_000, 1 << 32])
