@@ -9,7 +9,8 @@ share of the entity's information that the term reveals is
 
 A term that reveals at least ``remove`` is removed, at least ``generalise`` replaced by a general word,
 given ``support`` documents; at every place it has in documents that hold the entity, but only there, so documents without personal data
-stay as they are.
+stay as they are.  Spans of the method are of the kinds ``removed`` and ``generalised``, after the four of the base.  Only terms that meet an entity in ``support``
+documents are counted over the whole corpus.
 
 The patterns run with possessive loops and start only where a run of their first class starts or where the
 last match ended (``\\G``): the matches are those of the plain patterns, but no text makes them
@@ -17,7 +18,9 @@ backtrack quadratically or recurse.  Positions are code points, found from the l
 
 Spans depend on the text alone, so they are joined by its SHA-256: copies share one entry and repeated or
 null doc_ids are no trouble.  Defined cases: null text has no spans and stays null; no document with personal data
-means no added spans; an empty table gives an empty result; extra columns pass through.
+means no added spans; a term that is to be removed for one entity and generalised for another is removed; a very long text is scanned whole, in one row's
+memory; an empty table gives an empty result; extra columns pass through, one named like an output (n_email, n_ip, n_card, n_phone, base, base_sha256, spans, in any
+case) is replaced by ``personal_data``; ``sanitised`` returns all columns of docs, only the text changed.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 LETTERS = r"\p{L}{3,}+"
 SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.8
-LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "", "generalise": "[TERM]"}
+LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
 _BLOCK = 256
 _made = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "base_sha256", "_key", "_plain", "_added"]
 
@@ -125,7 +128,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, plus base, _plain (only where base has spans) and _key (the text's SHA-256), written once."""
     t = F.coalesce(F.col(quoted(text)), F.lit(""))
     keyed = base_spans(docs, text).withColumn("_key", F.unhex(F.sha2(t, 256))).withColumn("_plain", F.when(F.size("base") > 0, _plain(t)))
-    return kept(keyed.drop(text), "scan")
+    return kept(keyed.drop(F.col(quoted(text))), "scan")
 
 
 def entities(found: DataFrame) -> DataFrame:
@@ -143,17 +146,18 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support:
     open_ = own.join(entity.select("entity"), "entity", "left_semi")
     plain = found.where(F.size("base") > 0).select("_key", "_plain").dropDuplicates(["_key"]).select("_key", _words(F.col("_plain")).alias("terms"))
     both = open_.join(plain, "_key").select("entity", "n", F.explode("terms").alias("term"))
-    both = both.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support)
-    term = docs.select(F.explode(_words(_plain(F.col(quoted(text))))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    both = kept(both.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support), "together")
+    term = docs.select(F.explode(_words(_plain(F.col(quoted(text))))).alias("term")).join(both.select("term").distinct(), "term", "left_semi")
+    term = term.groupBy("term").agg(F.count("*").alias("with_term"))
     all_ = both.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total: one row
     content = F.log(F.col("total") / F.col("with_entity"))
     share = F.when(content > 0, F.log(F.col("both") * F.col("total") / (F.col("with_entity") * F.col("with_term"))) / content).otherwise(0.0)
-    return all_.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise).withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise"))
+    return all_.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise).withColumn("action", F.when(F.col("share") >= remove, "removed").otherwise("generalised"))
 
 
 def added_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
     """(_key, _added): every occurrence of the terms that reveal an entity of the text, wherever it stands."""
-    hits = entities(found).join(revealed, "entity").groupBy("_key", "term").agg(F.max("action").alias("action"))  # remove wins over generalise
+    hits = entities(found).join(revealed, "entity").groupBy("_key", "term").agg(F.max("action").alias("action"))  # removed wins over generalised
     texts = found.where(F.size("base") > 0).select("_key", "_plain").dropDuplicates(["_key"]).join(hits.select("_key").distinct(), "_key", "left_semi")
     places = texts.select("_key", F.explode(F.filter(_places(F.col("_plain"), LETTERS), lambda x: x.isNotNull())).alias("x"))
     places = places.select("_key", F.lower("x.value").alias("term"), "x.start", "x.end")
@@ -162,8 +166,7 @@ def added_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
 
 
 def _joined(spans):
-    name = lambda s: F.when(s["k"] == len(KINDS), F.lit("term")).otherwise(s["kind"])
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat(name(s), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))))
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))))
 
 
 def _short(spans):
@@ -184,19 +187,22 @@ def personal_data(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """docs with personal data replaced by labels, revealing terms removed or generalised."""
+    """docs with personal data replaced by labels, revealing terms removed or generalised.
+
+    Rows are written once with their spans; only those that hold personal data are joined with the terms to remove.
+    """
     own = docs.columns
-    slim = docs.select(F.col(quoted(text)).alias("text"))
+    slim = docs.select(F.struct(*[quoted(c) for c in own]).alias("_doc"), F.col(quoted(text)).alias("text"))
     found = scan(slim, "text")
-    added = added_spans(found, kept(disclosures(slim, found, "text", **limits), "disclosures"))
-    of = found.where(F.size("base") > 0).select("_key", _short("base").alias("_base")).dropDuplicates(["_key"]).join(added, "_key", "left")
+    added = added_spans(found.drop("_doc"), kept(disclosures(slim.select("text"), found.drop("_doc"), "text", **limits), "disclosures"))
     none = F.array().cast("array<struct<start:int,k:int,end:int,kind:string>>")
-    of = of.select("_key", F.sort_array(F.concat("_base", F.coalesce("_added", none))).alias("_all"))
-    t = F.col(quoted(text))
-    keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256))).join(of, "_key", "left")
+    touched = found.where(F.size("base") > 0).join(added, "_key", "left")
+    touched = touched.select("_doc", F.col("_doc")[text].alias("_t"), F.sort_array(F.concat(_short("base"), F.coalesce("_added", none))).alias("_all"))
     # a span that begins inside what was replaced before it is part of that replacement
+    t = F.col("_t")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     label = lambda s: F.create_map(*[F.lit(x) for kv in LABEL.items() for x in kv])[s["kind"]]
     step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), label(s)))).otherwise(acc["out"]).alias("out"))
     done = F.aggregate("_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    return keyed.select(*[(F.when(F.col("_all").isNull(), t).otherwise(done) if c == text else F.col(quoted(c))).alias(c) for c in own])
+    clean = found.where(F.size("base") == 0).select(*[F.col("_doc")[c].alias(c) for c in own])
+    return clean.unionByName(touched.select(*[(done if c == text else F.col("_doc")[c]).alias(c) for c in own]))
