@@ -10,9 +10,13 @@ once.  Each signal gets an equal share of ``alpha``, so a stratum loses at most
 Among the certified cutoffs the one is used that gains most bad rows for the good ones it costs; without
 enough labels nothing is certified and nothing more is rejected than by the base rules.
 
+Windows of words are compared by their words; their hashes only tell in which texts any can be equal.
+
 Defined cases: null text has no words (and so fails the base rule); null lang is a stratum of its own;
 labels without quality or id count for nothing, of several labels of an id the lowest counts; without labels or on an empty
-table only the base rules work; repeated rows are judged each; extra columns pass through.
+table only the base rules work; repeated rows are judged each; of cutoffs that gain alike the more lenient is used; a very long text is judged whole, in
+one row's memory; extra columns pass through, one named like an output (the base columns, base_failed, kept, in any case) or like a signal is replaced by
+``judged``; ``accepted`` returns all columns of docs as they are.
 """
 
 from __future__ import annotations
@@ -59,8 +63,8 @@ def signals(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> D
     )
     windows = F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))
     two = one.withColumn("n_words", F.size("_w").cast("long")).withColumn("_h", F.when(F.size("_w") > WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
-    # Windows that occur twice, found side by side in hash order; then each covers the words up to the next one.
-    ordered = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    # Windows that occur twice, found side by side in the order of their words; then each covers the words up to the next one.
+    ordered = F.sort_array(F.transform("_h", lambda h, i: F.struct(F.concat_ws(" ", F.slice("_w", i + 1, WINDOW)).alias("h"), i.alias("i"))))
     three = two.withColumn("_o", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ordered))
     n = F.size("_o")
     twice = F.filter(F.sequence(F.lit(1), n), lambda i: ((i > 1) & (F.element_at("_o", i)["h"] == F.element_at("_o", F.greatest(i - 1, F.lit(1)))["h"])) | ((i < n) & (F.element_at("_o", i)["h"] == F.element_at("_o", F.least(i + 1, n))["h"])))
@@ -155,8 +159,8 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """docs that pass; verdicts are taken in the row that holds the text, so nothing is joined by id."""
-    few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(lang).alias("lang")] if lang else []))
+    """docs that pass; each row is written once with its signals, so nothing is computed twice or joined by id."""
+    few = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_doc"), F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"), *([F.col(quoted(lang)).alias("lang")] if lang else []))
     found = kept(signals(few, "text", "lang" if lang else None).drop("text"), "signals")
-    chosen = cutoffs(found, labels, "doc_id", alpha, delta)
-    return judge(signals(docs, text, lang), chosen).where("kept and _row >= 0").select(*[quoted(c) for c in docs.columns])
+    chosen = cutoffs(found.drop("_doc"), labels, "doc_id", alpha, delta)
+    return judge(found, chosen).where("kept").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,3 +153,71 @@ def letter_grams(text):
     for k, n in counts.items():
         v[k] = n**0.5
     return v / np.linalg.norm(v)
+
+
+def all_spans(rows):
+    """(doc_id, spans): base spans and every place of the terms that reveal an entity of the document."""
+    n, own, held, terms, plain = len(rows), [], Counter(), Counter(), []
+    both = Counter()
+    for _, text in rows:
+        found = base_spans(text)
+        plain.append(re.sub(PII["email"], lambda m: "0" * len(m[0]), text or ""))
+        words = {w.lower() for w in regex.findall(r"\p{L}{3,}", plain[-1])}
+        entities = set()
+        for start, _, end, kind in found:
+            value = text[start:end]
+            entities.add(f"{kind}:" + (value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)))
+        own.append(entities)
+        held.update(entities)
+        terms.update(words)
+        both.update((e, w) for e in entities for w in words)
+    action = {}
+    for (e, w), k in both.items():
+        if k >= 3 and n > held[e]:
+            share = math.log(k * n / (held[e] * terms[w])) / math.log(n / held[e])
+            if share >= 0.8:
+                action[e, w] = "removed" if share >= 0.95 else "generalised"
+    out = []
+    for (d, text), entities, bare in zip(rows, own, plain):
+        spans = base_spans(text)
+        for m in regex.finditer(r"\p{L}{3,}", bare):
+            kinds = {action[e, m[0].lower()] for e in entities if (e, m[0].lower()) in action}
+            if kinds:
+                spans.append((m.start(), 4, m.end(), max(kinds)))
+        out.append((d, ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(spans))))
+    return out
+
+
+def kept(rows, labels, grids, alpha, delta, cost):
+    """Verdicts by doc_id: each stratum's cutoffs by exact binomial tails, tested along the grid."""
+    label = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            label[d] = min(q, label.get(d, q))
+    signal, stratum, failed = {}, {}, {}
+    for d, text, lang in rows:
+        n, _, _, dup, repeat, failed[d] = quality(text)
+        w, per = words(text), max(n, 1)
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        letters, capitals = (len(regex.findall(p, text or "")) for p in (r"\p{L}", r"\p{Lu}"))
+        marks = len(regex.findall(r"[^\p{L}\p{N}\x20\x09-\x0D]", text or ""))
+        signal[d] = {"marks": marks / per, "capitals": capitals / max(letters, 1), "repeats": 1 - len(set(w)) / per, "echoes": repeat / per, "lines": dup / max(len(lines), 1)}
+        stratum[d] = (lang, "short" if n < 100 else "medium" if n < 1000 else "long")
+    known = [d for d, _, _ in rows if d in label and not failed[d]]
+    tests = len({stratum[d] for d in known}) * len(grids)
+    rate, cut = alpha / len(grids), {}
+    for s in {stratum[d] for d in known}:
+        good, bad = ([d for d in known if stratum[d] == s and (label[d] >= 1) == g] for g in (True, False))
+        for name, grid in grids.items():
+            best = (0.0, None)
+            for v in grid:
+                lost, gained = (sum(signal[d][name] > v for d in x) for x in (good, bad))
+                tail = sum(math.comb(len(good), j) * rate**j * (1 - rate) ** (len(good) - j) for j in range(lost + 1))
+                if lost >= rate * len(good) or tail > delta / tests:
+                    break
+                gain = gained / max(len(bad), 1) - cost * lost / max(len(good), 1)
+                if gained and gain > best[0] + 1e-12:
+                    best = (gain, v)
+            if best[1] is not None:
+                cut[s, name] = best[1]
+    return {d: not failed[d] and not any(signal[d][g] > cut.get((stratum[d], g), math.inf) for g in grids) for d, _, _ in rows}

@@ -444,14 +444,43 @@ def check_pii(rows, docs):
     same([(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows], expect)
 
 
-def test_personal_data(docs, odd, empty, texts):
+def check_spans(rows, docs):
+    same([(r.doc_id, r.spans) for r in rows], brute.all_spans(docs))
+
+
+def test_added_spans(spark):
+    rng = np.random.default_rng(17)
+    common = [f"plain{chr(97 + i)}" for i in range(20)]
+    rows = []
+    for i in range(400):
+        words = rng.choice(common, 12).tolist()
+        who = int(rng.integers(0, 25))
+        if i % 4 == 0:  # an entity, and mostly a name of its own, in any place
+            words.insert(int(rng.integers(0, 12)), f"user{who}@mail.example.org" if who % 2 else f"+49 30 55{who:02d}12345")
+            if rng.random() < 0.8:
+                words.insert(int(rng.integers(0, 12)), f"Name{'abcdefghijklmnopqrstuvwxyz'[who]}son")
+        elif rng.random() < 0.02:
+            words.append(f"Name{'abcdefghijklmnopqrstuvwxyz'[who]}son")
+        rows.append((i, " ".join(words)))
+    rows += rows[:40]  # repeated rows count each
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_spans(found, rows)
+    kinds = {s.split(":")[0] for r in found for s in r.spans.split(",") if s}
+    assert {"removed", "generalised", "email", "phone"} <= kinds
+
+
+def test_personal_data(spark, docs, odd, empty, texts):
     rows = pii.personal_data(docs).collect()
     check_pii(rows, list(texts.items()))
     for r in rows:
         base = [f"{k}:{s}:{e}" for s, _, e, k in brute.base_spans(texts[r.doc_id])]
-        assert [s for s in r.spans.split(",") if s and not s.startswith("term:")] == base
+        assert [s for s in r.spans.split(",") if s and s.split(":")[0] in brute.PII] == base
         assert base or not r.spans  # clean documents stay clean
-    check_pii(pii.personal_data(odd).collect(), [r[:2] for r in odd_rows()])
+    check_spans(rows, list(texts.items()))
+    same([(r.doc_id, r.spans) for r in queries.op5_pii(spark, SF).collect()], [(r.doc_id, r.spans) for r in rows])
+    found = pii.personal_data(odd).collect()
+    check_pii(found, [r[:2] for r in odd_rows()])
+    check_spans(found, [r[:2] for r in odd_rows()])
     assert pii.personal_data(empty).collect() == []
 
 
@@ -461,7 +490,7 @@ def test_revealing_terms(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
     assert all(out[i] == "" for i in range(200))
-    assert "term:7:12" in out[1000] and not any(s.startswith("term:0:") for s in out[1000].split(","))
+    assert out[1000].startswith("generalised:7:12,")
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     assert "Zyxwv" not in clean[1000] and "@" not in clean[1000] and clean[1000].startswith("common ") and "[EMAIL]" in clean[1000]
     assert all(clean[i] == t for i, t in noise)
@@ -475,7 +504,7 @@ def test_revealing_terms_at_every_place(spark):
     text = rows[-1][1]
     at = [m.start() for m in re.finditer("zyxwv", text.lower())]
     spans = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
-    assert len(at) == 3 and all(f"term:{a}:{a + 5}" in spans[1000].split(",") for a in at)
+    assert len(at) == 3 and all(f"removed:{a}:{a + 5}" in spans[1000].split(",") for a in at)
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     assert "zyxwv" not in clean[1000].lower() and all(clean[i] == t for i, t in noise)
 
@@ -487,7 +516,7 @@ def test_revealing_terms_far_from_the_span(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.scan(df)
     (row,) = [r for r in pii.disclosures(df, found).collect() if r.term == "zyxwv"]
-    assert row.entity == "email:who@host.example.com" and abs(row.share - 1) < 1e-9 and row.action == "remove"
+    assert row.entity == "email:who@host.example.com" and abs(row.share - 1) < 1e-9 and row.action == "removed"
     assert all("Zyxwv" not in r.text for r in pii.sanitised(df).collect())
 
 
@@ -604,6 +633,48 @@ def test_quality(spark, docs, odd, empty, texts):
     assert quality.judged(empty, labels).collect() == []
 
 
+def test_verdicts(spark):
+    rng = np.random.default_rng(18)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows, labels = [], []
+    for i in range(5000):
+        bad, lang = rng.random() < 0.25, ["en", "de", None][int(rng.choice(3, p=[0.6, 0.35, 0.05]))]
+        words = rng.choice(vocab, int(rng.integers(15, 160))).tolist()
+        if bad and lang == "en":
+            words = [w + "##!" * (rng.random() < 0.9) for w in words]
+        elif bad:
+            words = [w.upper() for w in words]
+        if rng.random() < 0.02:
+            words = [w.upper() + "?!" for w in words]
+        if rng.random() < (0.4 if bad else 0.02):
+            words += ["\n" + "again and again the same line" + "\n"] * int(rng.integers(1, 4))
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, None if rng.random() < 0.02 else int(not bad)))
+    labels += [(None, 0), (7, 1), (7, 0), (10**9, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.kept for r in quality.judged(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    expect = brute.kept(rows, labels, quality.GRIDS, quality.ALPHA, quality.DELTA, quality.COST)
+    assert out == expect
+    base = sum(not brute.quality(t)[-1] for _, t, _ in rows)
+    assert sum(out.values()) < base - 500  # the method itself rejects
+
+
+def test_windows_are_compared_by_words(spark):
+    words = [f"q{i}" for i in range(30)]
+    rows = [(1, " ".join(words + words[3:14] + ["z"] * 3)), (2, " ".join(words)), (3, " ".join(["a"] * 40)), (4, " ".join(words * 40))]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    check_quality(quality.judged(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")), labels).collect(), rows)
+
+
+def test_accepted_keeps_columns(spark, odd, empty):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.accepted(odd, labels)
+    assert out.columns == odd.columns and quality.accepted(empty, labels).collect() == []
+    judged = [r.doc_id for r in quality.judged(odd, labels).collect() if r.kept]
+    same([r.doc_id for r in out.collect()], judged)
+    assert {(r.n_words, r.base, r.kept) for r in out.collect()} == {("clash", "clash", 5)}
+
+
 def test_binomial_tail(spark):
     from math import comb
 
