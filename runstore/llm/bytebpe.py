@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from runstore.llm.common import Memo, Splitter, map_texts
 
 #: Determinised states kept by one encoder; beyond that the table starts afresh (results stay the same).
-MAX_STATES = 200_000
-MAX_WORDS = 800_000
+MAX_STATES = 150_000
+MAX_WORDS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,18 +61,26 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         #: (state, byte) as state << 8 | byte -> (next state, tokens emitted)
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: A state is a tuple of configurations (trie node, token before it or -1, its tokens not yet emitted).
-        start = ((0, -1, ()),)
-        self.states: list[tuple] = [start]
-        self.number = {start: 0}
+        #: Configurations: (trie node, token before it or -1, its tokens not yet emitted); a state is a tuple of their numbers.
+        self.configs: list[tuple[int, int, tuple[int, ...]]] = [(0, -1, ())]
+        self.config_number = {self.configs[0]: 0}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.number = {(0,): 0}
         self.moves.clear()
 
+    def _config(self, config: tuple[int, int, tuple[int, ...]]) -> int:
+        at = self.config_number.get(config)
+        if at is None:
+            at = self.config_number[config] = len(self.configs)
+            self.configs.append(config)
+        return at
+
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Plain merging by rank until ``stop`` parts are left; used on the bytes of single tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -96,15 +104,16 @@ class Transducer:
         return self.halves[token]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if left < 0:
                 known = len(self.bytes_of[right]) == 1 or self.split(right) is not None
             else:
                 known = self.side_by_side(left, right)
-            if len(self.pairs) > 4 * self.max_states:
+            if len(self.pairs) > 2 * self.max_states:
                 self.pairs.clear()
-            self.pairs[left, right] = known
+            self.pairs[key] = known
         return known
 
     def side_by_side(self, left: int, right: int) -> bool:
@@ -139,7 +148,8 @@ class Transducer:
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and the tokens that are certain from here on; built when first asked for."""
         live, ended = [], None
-        for node, before, held in self.states[state]:
+        for number in self.states[state]:
+            node, before, held = self.configs[number]
             nxt = self.child[node].get(byte)
             if nxt is None:
                 continue
@@ -158,12 +168,12 @@ class Transducer:
                 break
             same += 1
         out = ended[2][:same]
-        key = tuple((node, before, held[same:]) for node, before, held in live)
+        if len(self.states) >= self.max_states:
+            self._reset()
+            state = -1  # its number is gone
+        key = tuple(self._config((node, before, held[same:])) for node, before, held in live)
         at = self.number.get(key)
         if at is None:
-            if len(self.states) >= self.max_states:
-                self._reset()
-                state = -1  # its number is gone
             at = self.number[key] = len(self.states)
             self.states.append(key)
         found = (at, out)
@@ -178,7 +188,7 @@ class Transducer:
             state, out = get(state << 8 | byte) or self.move(state, byte)
             if out:
                 yield from out
-        yield from self.states[state][-1][2]  # the configuration that ends here is the last one
+        yield from self.configs[self.states[state][-1]][2]  # the configuration that ends here is the last one
 
     def encode(self, data: bytes) -> list[int]:
         return list(self.stream(data))
@@ -240,11 +250,18 @@ class Utf8Machine:
 class Codec:
     """Texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int = MAX_STATES, words: int = MAX_WORDS):
+        self.machine = Transducer(ranks, states)
         self.split = Splitter(pattern)
         #: Of each distinct match, its ids as little-endian unsigned 32-bit integers.
-        self.words = Memo(lambda word: array("I", self.machine.stream(word.encode("utf-8"))).tobytes(), MAX_WORDS)
+        self.words = Memo(lambda word: array("I", self.machine.stream(word.encode("utf-8"))).tobytes(), words)
+
+    def forget(self) -> None:
+        """Gives back what can be built again, so that an idle worker holds no more than the merge table."""
+        self.words.before = {}
+        self.words.clear()
+        self.machine.pairs.clear()
+        self.machine._reset()
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype="<u4")
@@ -257,25 +274,28 @@ class Codec:
         machine.finish()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(ranks_path: str, pattern: str) -> Codec:
-    """One codec for each worker process: its states and words serve all tasks."""
-    key = (ranks_path, pattern)
+def codec(ranks_path: str, pattern: str, states: int = MAX_STATES, words: int = MAX_WORDS) -> Codec:
+    """One codec for each worker process; its merge table serves all tasks."""
+    key = (ranks_path, pattern, states, words)
     if key not in _codecs:
-        _codecs[key] = Codec(load_ranks(ranks_path), pattern)
+        _codecs[key] = Codec(load_ranks(ranks_path), pattern, states, words)
     return _codecs[key]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """docs without the text, plus ids (if kept), n_tokens, ids_sha256, decoded (if kept) and decoded_sha256."""
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True, states: int = MAX_STATES, words: int = MAX_WORDS) -> DataFrame:
+    """docs without the text, plus ids (if kept), n_tokens, ids_sha256, decoded (if kept) and decoded_sha256.
+
+    ``states`` and ``words`` bound a worker's memory (about 1 KB a state and 250 bytes a word), never the result.
+    """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def start():
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, states, words)
 
         def work(texts):
             out = {f.name: [] for f in fields}
@@ -294,6 +314,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
                     out["decoded"].append(b"".join(pieces).decode("utf-8"))
             return out
 
+        work.close = own.forget
         return work
 
     return map_texts(docs, text, T.StructType(fields), start)

@@ -64,16 +64,20 @@ def _clean() -> None:
 
 
 class Memo(dict):
-    """What ``make`` gives for a word; short words are kept, up to ``most`` of them, then it starts afresh."""
+    """What ``make`` gives for a word; short words are kept, up to ``most`` of them: when half that many are new, those before go
+    unless they are met again."""
 
     def __init__(self, make: Callable, most: int, longest: int = 256):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.before = make, most, longest, {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.before.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= self.longest:
-            if len(self) >= self.most:
+            if len(self) >= self.most // 2:
+                self.before = dict(self)
                 self.clear()
             self[word] = value
         return value
@@ -128,7 +132,7 @@ def map_texts(
     """df plus the columns ``outputs`` computed in Python from the text column, batch by batch.
 
     ``start`` runs once in each task and returns the function from a list of texts (None for null) to
-    lists of values by output name.  An input column with an output's name is replaced.
+    lists of values by output name; its attribute ``close``, if it has one, is called at the task's end.  An input column with an output's name is replaced.
     """
     keep = columns_but(df, outputs.names)
     if drop_text or not has(df, text) or text.lower() not in (k.lower() for k in keep):
@@ -148,6 +152,7 @@ def map_texts(
                     v if isinstance(v := made[n], pa.Array) else pa.array(v, kinds[n]) for n in names
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
+        getattr(work, "close", int)()
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -140,6 +140,8 @@ def connected(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
     if len(fps) < 2:
         return label
+    if len(fps) == 2:  # most shards
+        return label * (int(fps[0] ^ fps[1]).bit_count() > radius)
     tree = BkTree(fps)
     for lo in range(0, len(fps), TOGETHER):
         for q, members in tree.meet(np.arange(lo, min(len(fps), lo + TOGETHER)), radius):
@@ -367,7 +369,7 @@ def near_groups(docs: DataFrame, text: str = "text", lot: int = LOT, most: int =
     h = F.xxhash64(F.col(quoted(text)))
     made = T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     rows = kept(map_texts(docs.withColumn("_text_hash_", h), text, made, start), "shingles")
-    nodes = rows.select("node", "fp", "bands").distinct().select("node", "fp", F.explode("bands").alias("band"))
+    nodes = kept(rows.select("node", "fp", "bands").distinct(), "nodes").select("node", "fp", F.explode("bands").alias("band"))
     shared = kept(nodes.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "bands")
     members = nodes.join(shared, "band")
     found = by_shard(members.where(F.col("n") <= most), ["band"], ["node", "fp"], work)
@@ -380,7 +382,8 @@ def near_groups(docs: DataFrame, text: str = "text", lot: int = LOT, most: int =
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     lots = kept(lots.join(pieces, "lot").select("node", "_text_hash_", "lot", F.explode(pairs).alias("x")).select("node", "_text_hash_", "lot", "x.i", "x.j"), "pieces")
-    texts = docs.select(h.alias("_text_hash_"), F.col(quoted(text)).alias("text")).join(lots.select("_text_hash_").distinct(), "_text_hash_", "left_semi").dropDuplicates(["_text_hash_"])
+    wanted = kept(lots.select("_text_hash_").distinct(), "wanted")  # written, so that its size is known before texts move
+    texts = docs.select(h.alias("_text_hash_"), F.col(quoted(text)).alias("text")).join(wanted, "_text_hash_", "left_semi").dropDuplicates(["_text_hash_"])
 
     def compared(frame):
         frame = frame.sort_values("node", ignore_index=True)
