@@ -32,14 +32,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*[quoted(c) for c in docs.columns])
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("doc"), "doc_id", "text", "source")  # no column is taken for one of the mix
+    mixed = mixing.mix(packed).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and the hash of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bytebpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN).drop("decoded")
+    # smaller tables than alone: workers share executors with what the stages before left there
+    coded = bytebpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, states=60_000, words=200_000)
+    return coded.drop("decoded")
 
 
 STAGES = [
