@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from runstore.llm.common import Memo, Splitter, map_texts
 
 #: Determinised states kept by one encoder; beyond that the table starts afresh (results stay the same).
-MAX_STATES = 150_000
+MAX_STATES = 300_000
 MAX_WORDS = 400_000
 
 
@@ -300,10 +300,11 @@ def codec(ranks_path: str, pattern: str, states: int = MAX_STATES, words: int =
     return _codecs[key]
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True, states: int = MAX_STATES, words: int = MAX_WORDS) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True, states: int = MAX_STATES, words: int = MAX_WORDS, give_back: bool = False) -> DataFrame:
     """docs without the text, plus ids (if kept), n_tokens, ids_sha256, decoded (if kept) and decoded_sha256.
 
     ``states`` and ``words`` bound a worker's memory (about 0.6 KB a state and 250 bytes a word), never the result.
+    With ``give_back`` a worker empties its tables at a task's end, for later operators on the same executors.
     """
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:
@@ -329,7 +330,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
                     out["decoded"].append(b"".join(pieces).decode("utf-8"))
             return out
 
-        work.close = own.forget
+        if give_back:
+            work.close = own.forget
         return work
 
     return map_texts(docs, text, T.StructType(fields), start)
