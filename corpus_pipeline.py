@@ -41,7 +41,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and the hash of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     # smaller tables than alone: workers share executors with what the stages before left there
-    coded = bytebpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, states=100_000, words=200_000)
+    coded = bytebpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, states=100_000, words=200_000, give_back=True)
     return coded.drop("decoded")
 
 
