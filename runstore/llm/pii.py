@@ -9,8 +9,8 @@ share of the entity's information that the term reveals is
 
 A term that reveals at least ``remove`` is removed, at least ``generalise`` replaced by a general word,
 given ``support`` documents; at every place it has in documents that hold the entity, but only there, so documents without personal data
-stay as they are.  Spans of the method are of the kinds ``removed`` and ``generalised``, after the four of the base.  Only terms that meet an entity in ``support``
-documents are counted over the whole corpus.
+stay as they are.  Spans of the method are of the kinds ``removed`` and ``generalised``, after the four of the base.  Terms are counted over the whole
+corpus where they stand; of these counts those of terms that meet an entity in ``support`` documents are kept.
 
 The patterns run with possessive loops and start only where a run of their first class starts or where the
 last match ended (``\\G``): the matches are those of the plain patterns, but no text makes them
@@ -147,8 +147,9 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support:
     plain = found.where(F.size("base") > 0).select("_key", "_plain").dropDuplicates(["_key"]).select("_key", _words(F.col("_plain")).alias("terms"))
     both = open_.join(plain, "_key").select("entity", "n", F.explode("terms").alias("term"))
     both = kept(both.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support), "together")
-    term = docs.select(F.explode(_words(_plain(F.col(quoted(text))))).alias("term")).join(both.select("term").distinct(), "term", "left_semi")
-    term = term.groupBy("term").agg(F.count("*").alias("with_term"))
+    # counted where they stand and written: the optimiser takes a semi join below the count, and if it isn't a broadcast after all, each term of each document moves
+    term = docs.select(F.explode(_words(_plain(F.col(quoted(text))))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    term = kept(term, "terms").join(both.select("term").distinct(), "term", "left_semi")
     all_ = both.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total: one row
     content = F.log(F.col("total") / F.col("with_entity"))
     share = F.when(content > 0, F.log(F.col("both") * F.col("total") / (F.col("with_entity") * F.col("with_term"))) / content).otherwise(0.0)

@@ -55,6 +55,21 @@ def same(found, expected):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+def moved(spark, run):
+    """What run() gives, and the rows and bytes that it shuffles if no join is a broadcast by its size."""
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        of = lambda: [(s.stageId(), s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None))]
+        last = max([s[0] for s in of()], default=-1)
+        out = run()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        new = [s for s in of() if s[0] > last]
+        return out, sum(s[1] for s in new), sum(s[2] for s in new)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------
 
 
@@ -520,6 +535,16 @@ def test_revealing_terms_far_from_the_span(spark):
     assert all("Zyxwv" not in r.text for r in pii.sanitised(df).collect())
 
 
+def test_terms_are_counted_where_they_stand(spark):
+    words = " ".join("w" + "".join(chr(97 + i // 10 ** k % 10) for k in range(2)) + "x" for i in range(100))
+    rows = [(i, words) for i in range(400)] + [(1000 + i, f"Zyxwv wrote from who@host.example.com {words}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = pii.scan(df)
+    terms, n, _ = moved(spark, lambda: {r.term: r.action for r in pii.disclosures(df, found).collect()})
+    assert terms == {"zyxwv": "removed", "wrote": "removed", "from": "removed"}
+    assert n < 400 * 100 / 5
+
+
 def test_sanitised_keeps_rows(odd):
     out = pii.sanitised(odd)
     assert out.columns == odd.columns
