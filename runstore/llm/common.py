@@ -25,6 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python operator at once; with texts of a few MB this stays within a small worker.
 SUB_BATCH = 128
 
+#: Bits of the bitmap by which ``parted`` decides at most (16 MB), for each key if there is room, and words of one of its rows.
+MOST_BITS, KEY_BITS, ROW_WORDS = 1 << 27, 32, 1024
+
 _own_dir: str | None = None
 _made: list[tuple[SparkSession, str]] = []
 
@@ -52,6 +55,27 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parted(rows: DataFrame, keys: DataFrame, by: list[str], most: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, rows that surely have none), so that only the first need move to meet the keys.
+
+    A bitmap of the keys' hashes goes to where the rows are; it is ``most`` bits at most, whatever the number of keys: then
+    more rows may have one.  Both have the columns ``by``; null is a value like any other.
+    """
+    spark = rows.sparkSession
+    row, all_ = ("_" * (1 + max(map(len, rows.columns))) + x for x in ("row", "words"))  # names that rows doesn't have
+    bits = min(most, 1 << max(16, (KEY_BITS * keys.count()).bit_length()))
+    hashed = F.xxhash64(*[quoted(c) for c in by]).bitwiseAND(F.lit(bits - 1).cast("long"))
+    bit, word = hashed.bitwiseAND(F.lit(63).cast("long")).cast("int"), F.shiftright(hashed, 6)
+    found = keys.select(word.alias("_word"), bit.alias("_bit")).select("_word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit")).alias("_bits"))
+    found = found.unionByName(spark.range(bits // 64).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits")))  # no word is left out
+    found = found.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).groupBy(F.shiftright("_word", ROW_WORDS.bit_length() - 1).alias(row))
+    words = F.transform(F.sort_array(F.collect_list(F.struct("_word", "_bits"))), lambda x: x["_bits"])
+    table = kept(found.agg(words.alias(all_)), "bitmap")
+    at = F.element_at(all_, word.bitwiseAND(F.lit(ROW_WORDS - 1).cast("long")).cast("int") + 1)
+    met = (F.shiftright(hashed, 6 + ROW_WORDS.bit_length() - 1) == F.col(row)) & (F.getbit(at, bit) == 1)
+    return rows.join(F.broadcast(table), met, "left_semi"), rows.join(F.broadcast(table), met, "left_anti")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runstore.llm.common import columns_but, kept, map_texts, quoted, with_batches
+from runstore.llm.common import columns_but, kept, map_texts, parted, quoted, with_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a shard that keys aim at, members from which it is dealt again, and members of a leaf.
@@ -382,8 +382,9 @@ def near_groups(docs: DataFrame, text: str = "text", lot: int = LOT, most: int =
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     lots = kept(lots.join(pieces, "lot").select("node", "_text_hash_", "lot", F.explode(pairs).alias("x")).select("node", "_text_hash_", "lot", "x.i", "x.j"), "pieces")
-    wanted = kept(lots.select("_text_hash_").distinct(), "wanted")  # written, so that its size is known before texts move
-    texts = docs.select(h.alias("_text_hash_"), F.col(quoted(text)).alias("text")).join(wanted, "_text_hash_", "left_semi").dropDuplicates(["_text_hash_"])
+    wanted = kept(lots.select("_text_hash_").distinct(), "wanted")
+    texts, _ = parted(docs.select(h.alias("_text_hash_"), F.col(quoted(text)).alias("text")), wanted, ["_text_hash_"])  # other texts don't move
+    texts = texts.dropDuplicates(["_text_hash_"]).join(wanted, "_text_hash_", "left_semi")
 
     def compared(frame):
         frame = frame.sort_values("node", ignore_index=True)
@@ -400,13 +401,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """docs with one document of each group of near copies (see ``near_groups``): that of the smallest id, null last, then of the smallest text hash.
 
     A row is known by id and text hash, so an id that is used for two texts that are no near copies loses
-    neither; of rows that are repeated one stays.  Texts move only if what goes is too much for a broadcast.
+    neither; of rows that are repeated one stays.  Only texts that may go move (see ``parted``).
     """
     h = F.xxhash64(F.col(quoted(text)))
     keyed = docs.withColumns({"_id_": F.col(quoted(doc_id)), "_hash_": h})
     found = kept(near_groups(keyed.select("_id_", "_hash_", F.col(quoted(text)).alias("text"))), "groups")
     order = F.struct(F.col("_id_").isNull().alias("none"), F.col("_id_").alias("id"), F.col("_hash_").alias("hash"))
     first = found.groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("root", "first")
+    first = kept(first, "first")  # so that the join can have its hot roots split
     gone = kept(found.join(first, "root").where(order != F.col("first")).select("_id_", "_hash_").distinct(), "gone")
     twice = found.groupBy("_id_", "_hash_").agg(F.count("*").alias("n")).where("n > 1").select("_id_", "_hash_")
     twice = kept(twice, "repeated")
@@ -415,7 +417,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         t = t.select(F.col("_id_").alias("_i_"), F.col("_hash_").alias("_h_"))
         return rows.join(t, F.col("_id_").eqNullSafe(F.col("_i_")) & (F.col("_hash_") == F.col("_h_")), how)
 
-    stay = less(keyed, gone, "left_anti")
+    may, rest = parted(keyed, gone.unionByName(twice), ["_id_", "_hash_"])
+    stay = less(may, gone, "left_anti")
     if not twice.isEmpty():
         stay = less(stay, twice, "left_anti").unionByName(less(stay, twice, "left_semi").dropDuplicates(["_id_", "_hash_"]))
-    return stay.select(*[quoted(c) for c in docs.columns])
+    return rest.unionByName(stay).select(*[quoted(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from runstore.llm import bytebpe, dac, langid, media, mixing, pii, quality, queries, sharding, simhash, tokencount
+from runstore.llm import bytebpe, common, dac, langid, media, mixing, pii, quality, queries, sharding, simhash, tokencount
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, Shard int, n_words string, base string, fp string, kept int"
@@ -70,6 +70,16 @@ def moved(spark, run):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_parted(spark):
+    rows = spark.createDataFrame([(i % 50 or None, f"t{i}", i) for i in range(1000)], "_row long, t string, _words long")
+    keys = rows.where("_words % 97 = 0").select("t", "_row")
+    for most, few in ((common.MOST_BITS, 100), (64, 1000)):
+        may, rest = common.parted(rows, keys, ["_row", "t"], most)
+        may, rest = may.collect(), rest.collect()
+        same(may + rest, rows.collect())
+        assert {r for r in range(0, 1000, 97)} <= {r._words for r in may} and len(may) < few
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------
 
 
@@ -387,6 +397,14 @@ def test_keep_one_drops_edited_copies(spark):
     assert similar >= 90 and len(texts) - len(kept) == similar and all(i in kept for i in range(0, len(texts), 2))
 
 
+def test_keep_one_moves_only_texts_that_may_go(spark):
+    rng = np.random.default_rng(3)
+    texts = [rng.bytes(15_000).hex(" ", 4) for _ in range(200)]  # some 6 MB
+    df = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string")
+    ids, _, size = moved(spark, lambda: sorted(r.doc_id for r in simhash.keep_one(df).collect()))
+    assert (ids, size) == (list(range(200)), min(size, 1_500_000))
+
+
 def test_keep_one_leaves_one_of_a_group(spark):
     words = [f"w{i}" for i in range(200)]
     near = [" ".join(words[:i] + ["edited"] + words[i + 1 :]) for i in (50, 100, 150)]
