@@ -371,7 +371,7 @@ def near_groups(docs: DataFrame, text: str = "text", lot: int = LOT, most: int =
     rows = kept(map_texts(docs.withColumn("_text_hash_", h), text, made, start), "shingles")
     nodes = kept(rows.select("node", "fp", "bands").distinct(), "nodes").select("node", "fp", F.explode("bands").alias("band"))
     shared = kept(nodes.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "bands")
-    members = nodes.join(shared, "band")
+    members = parted(nodes, shared, ["band"])[0].join(shared, "band")  # most bands have one node
     found = by_shard(members.where(F.col("n") <= most), ["band"], ["node", "fp"], work)
     every = members.where((F.col("n") > most) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
     lots = components(found.unionByName(every), "candidates")
