@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 
@@ -454,6 +455,30 @@ def test_token_files(spark, docs, odd, empty, texts):
     check_files(dac.token_files(hot, path).collect(), [(None if i % 2 else 7, f"text {i}") for i in range(400)])
 
 
+def test_symbols_spelled_by_bytes(texts, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), dac.library(path)
+    assert own.token_to_id(" the") == library.token_to_id("Ġthe") and own.pre_tokenizer.__class__.__name__ == "Split"
+    rng = np.random.default_rng(10)
+    plain = list("abst'lremvd1.,_<0xC3>|E \n\t\r\x0b\x1c\x1f\0") + [" "] * 4 + ["'"] * 3
+    wide = [*plain, "\x7f", "\x80", "\x85", "\xa0", "\xad", "　", "é", "ÿ", "Ġ", "Ċ", "²", "日", "本", "的", "П", "р", "ﷺ", "🙂", "\u0301", "\ufeff", "\U0010ffff", "<|endoftext|>", "<0xC3>", "<0xE2>"]
+    cases = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for alphabet in (plain, wide) for _ in range(4000)]
+    cases += [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + [t or "" for t in texts.values()] + ["日" * 5000, " " * 5000, "é" * 300, "a" * 300]
+    for ids, plainly in zip(dac.encode_texts(path, cases), library.encode_batch(cases, add_special_tokens=False), strict=True):
+        assert ids.tolist() == plainly.ids
+    # files of other kinds are used as they are
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for n, change in enumerate(({"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "NFC"}}, {"model": spec["model"] | {"ignore_merges": True}})):
+        other = tmp_path / f"{n}.json"
+        other.write_text(json.dumps(spec | change), encoding="utf-8")
+        library = Tokenizer.from_file(str(other))
+        assert dac.spelled(spec | change) is None
+        assert [x.tolist() for x in dac.encode_texts(str(other), cases[:500])] == [e.ids for e in library.encode_batch(cases[:500], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("top", [1, 200, 256, 70_000, 1 << 32])
 def test_direct_access(top):
     rng = np.random.default_rng(5)
